@@ -23,7 +23,8 @@ RANGES = 64
 def latest(df: DataFrame, keys: list[str], order: list[Column], columns: list[str]) -> DataFrame:
     """The first row of each key under the order; the map side already drops all but one row a key and task."""
     w = W.partitionBy(*keys).orderBy(*order)
-    return df.select(*dict.fromkeys([*keys, *columns])).withColumn("_tn_latest", F.row_number().over(w)).where("_tn_latest = 1").drop("_tn_latest")
+    ranked = df.withColumn("_tn_latest", F.row_number().over(w)).where("_tn_latest = 1")
+    return ranked.select(*dict.fromkeys([*keys, *columns]))
 
 
 def top_n(df: DataFrame, keys: list[str], score: str, ties: list[Column], n: int, tie_key: str, hot_rows: int = 100_000, max_hot: int = 2000) -> DataFrame:
