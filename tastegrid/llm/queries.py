@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tastegrid.llm import pii
 from tastegrid.llm.top_n import latest, top_n
 from tastegrid.sources.tables import table
 
@@ -25,7 +26,23 @@ def p1_top_ten(spark: SparkSession, d: str) -> DataFrame:
     return _ranked(spark, d, 10, 500).select("city_id", "dish_id", "restaurant_id", "score", "rank")
 
 
-QUERIES = {"p1_found": p1_found, "p1_top_ten": p1_top_ten}
+def _tagged(spark: SparkSession, d: str) -> DataFrame:
+    reviews = table(spark, d, "raw_reviews").select("raw_id", "text", "author")
+    model = pii.fit_on(spark, reviews, "raw_id", "text", "author", table(spark, d, "person_names"))
+    return pii.tag_fields(reviews, "raw_id", ["text", "author"], model)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    kinds = [F.struct(F.lit(f).alias("field_name"), F.array_distinct(F.col(f + "_spans.kind")).alias("kinds")) for f in ("text", "author")]
+    rows = _tagged(spark, d).select("raw_id", F.explode(F.array(*kinds)).alias("x"))
+    return rows.select("raw_id", "x.field_name", F.explode("x.kinds").alias("pii_kind"))
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return _tagged(spark, d).select("raw_id", pii.redacted("text").alias("text"), pii.redacted("author").alias("author"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_top_ten": p1_top_ten, "p3_found": p3_found, "p3_redacted": p3_redacted}
 
 _P1 = """
 with last as (
