@@ -153,13 +153,16 @@ def fit_on(df: DataFrame, id_col: str, text: str, label: str, sample_rows: int =
     return Languages.train(rows[text].tolist(), rows[label].tolist(), rounds)
 
 
-def detect(df: DataFrame, id_col: str, text: str, model: Languages, penalty: float = 10.0, chunk: int = 1000) -> DataFrame:
-    """(id, language, share, confidence, segments): one row for each language of each text with words.
+def detect(df: DataFrame, id_col: str, text: str, model: Languages, keep: list[str] | None = None, penalty: float = 10.0, chunk: int = 1000) -> DataFrame:
+    """(id, kept columns, language, languages, share, confidence, segments): a row for each language of each text with words.
 
+    languages is how many the text has.
     segments holds the stretches of that language: array<struct<start,stop,confidence>>, offsets in code points.
     """
     shared = df.sparkSession.sparkContext.broadcast(model.table)
-    schema = f"{id_col} {df.schema[id_col].dataType.simpleString()}, language string, share double, confidence double, segments array<struct<start:int,stop:int,confidence:double>>"
+    keep = keep or []
+    kinds = "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in keep)
+    schema = f"{id_col} {df.schema[id_col].dataType.simpleString()}{kinds}, language string, languages int, share double, confidence double, segments array<struct<start:int,stop:int,confidence:double>>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Languages(shared.value)
@@ -174,12 +177,14 @@ def detect(df: DataFrame, id_col: str, text: str, model: Languages, penalty: flo
                     pieces += [t[a:b] for a, b in spans[-1]]
                 score = m.score(pieces)
                 at = 0
-                for i, s in zip(part[id_col], spans):
+                kept = list(part[[id_col, *keep]].itertuples(index=False, name=None))
+                for i, s in zip(kept, spans):
                     if not s:
                         continue
                     langs, pi, post = mixture(score[at : at + len(s)], penalty)
                     at += len(s)
                     pick = post.argmax(1)
+                    present = sum(bool((pick == j).any()) for j in range(len(langs)))
                     for j, lang in enumerate(langs):
                         mine = np.flatnonzero(pick == j)
                         if len(mine):
@@ -191,7 +196,7 @@ def detect(df: DataFrame, id_col: str, text: str, model: Languages, penalty: flo
                                     runs[-1] = {"start": runs[-1]["start"], "stop": s[r][1], "confidence": min(runs[-1]["confidence"], float(c))}
                                 else:
                                     runs.append({"start": s[r][0], "stop": s[r][1], "confidence": float(c)})
-                            out.append((i, LANGUAGES[lang], float(pi[j]), float(sure.mean()), runs))
-                yield pd.DataFrame(out, columns=[id_col, "language", "share", "confidence", "segments"])
+                            out.append((*i, LANGUAGES[lang], present, float(pi[j]), float(sure.mean()), runs))
+                yield pd.DataFrame(out, columns=[id_col, *keep, "language", "languages", "share", "confidence", "segments"])
 
-    return df.select(id_col, text).repartition(parallelism(df.sparkSession)).mapInPandas(run, schema)
+    return df.select(id_col, *keep, text).repartition(parallelism(df.sparkSession)).mapInPandas(run, schema)

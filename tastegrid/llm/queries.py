@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastegrid.llm import pii
+from tastegrid.llm import langid, pii, safety
 from tastegrid.llm.top_n import latest, top_n
 from tastegrid.sources.tables import table
 
@@ -42,7 +42,50 @@ def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
     return _tagged(spark, d).select("raw_id", pii.redacted("text").alias("text"), pii.redacted("author").alias("author"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_top_ten": p1_top_ten, "p3_found": p3_found, "p3_redacted": p3_redacted}
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    reviews = table(spark, d, "raw_reviews").select("raw_id", "source", "text")
+    model = safety.fit_on(reviews, table(spark, d, "review_labels"), "raw_id", "text")
+    return safety.score_texts(reviews, "raw_id", "text", model, keep=["source"])
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).where("score > 0.5").select("raw_id")
+
+
+def p4_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).select("raw_id", "score", "start", "stop")
+
+
+def p4_source_rates(spark: SparkSession, d: str) -> DataFrame:
+    unsafe = F.when(F.col("score") > 0.5, 1.0).otherwise(0.0)
+    return _scored(spark, d).groupBy("source").agg(F.count("*").alias("reviews"), F.avg(unsafe).alias("unsafe_rate"), F.avg("score").alias("mean_score"))
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    """Reviews with the language of their latest analysis row, as label_of reads it."""
+    last = latest(table(spark, d, "review_analysis"), ["raw_id"], [F.col("analyzed_at").desc_nulls_last(), F.col("provider").asc_nulls_last(), F.col("language").asc_nulls_last()], ["language"])
+    last = last.select("raw_id", langid.label_of(F.col("language")).alias("label"))
+    return table(spark, d, "raw_reviews").select("raw_id", "text").join(last, "raw_id", "left")
+
+
+def _languages(spark: SparkSession, d: str, labelled: DataFrame) -> DataFrame:
+    model = langid.fit_on(labelled, "raw_id", "text", "label")
+    return langid.detect(labelled, "raw_id", "text", model, keep=["label"])
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    found = _languages(spark, d, _labelled(spark, d))
+    return found.where("languages > 1 or label is null or label <> language").select("raw_id", "language")
+
+
+def p6_segments(spark: SparkSession, d: str) -> DataFrame:
+    found = _languages(spark, d, _labelled(spark, d))
+    return found.select("raw_id", "language", F.explode("segments").alias("s")).select("raw_id", "language", "s.start", "s.stop", "s.confidence")
+
+
+QUERIES = {"p1_found": p1_found, "p1_top_ten": p1_top_ten, "p3_found": p3_found, "p3_redacted": p3_redacted,
+    "p4_found": p4_found, "p4_scores": p4_scores, "p4_source_rates": p4_source_rates, "p6_found": p6_found, "p6_segments": p6_segments,
+}
 
 _P1 = """
 with last as (

@@ -6,7 +6,7 @@ masked vowels match. Pairwise interactions tell an insult at a person or group f
 
 The machine is fitted on the driver to a bounded sample of labelled rows (`sample_rows`, those of smallest hash of their
 id). Labels are given to whole documents and may be wrong: in rounds, the worst sentence of each unsafe document becomes
-the unsafe one, and documents whose label the fit of other documents firmly contradicts are left out. Then confident
+the unsafe one, and unsafe documents in which the fit of other documents finds nothing are left out. Then confident
 sentences of a bounded sample of unlabelled rows join as training material.
 
 Defined results: null, empty or wordless texts score 0; equal texts score equally; rows labelled both ways count for
@@ -102,7 +102,7 @@ class FactorizationMachine:
         s = v.sum(1)
         return self.b + self.w[x].sum(1) * scale + 0.5 * ((s * s).sum(1) - (v * v).sum((1, 2))) * scale**2
 
-    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 10, batch: int = 128, rate: float = 0.15, l2: float = 2e-4, seed: int = 7) -> None:
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 18, batch: int = 128, rate: float = 0.2, l2: float = 3e-4, seed: int = 7) -> None:
         """Adagrad on the weighted logistic loss; y is 0 or 1."""
         r = np.random.default_rng(seed)
         gw, gv, gb = np.full(BUCKETS, 1e-3, np.float32), np.full(self.v.shape, 1e-3, np.float32), 1e-3
@@ -145,7 +145,7 @@ def _split(texts: list[str]) -> tuple[list[list[int]], np.ndarray]:
     return rows, np.array(owner, dtype=np.int64)
 
 
-def fit(texts: list[str], labels: list[int], more: list[str], rounds: int = 3, folds: int = 4, seed: int = 7) -> FactorizationMachine | None:
+def fit(texts: list[str], labels: list[int], more: list[str], rounds: int = 2, folds: int = 3, seed: int = 7) -> FactorizationMachine | None:
     """Fits to labelled documents (1 unsafe, 0 safe) and then to confident sentences of unlabelled ones."""
     y = np.array(labels)
     if not (y == 1).any() or not (y == 0).any():
@@ -162,7 +162,7 @@ def fit(texts: list[str], labels: list[int], more: list[str], rounds: int = 3, f
         for f in range(folds):
             m = FactorizationMachine(seed=seed + f)
             on = fold != f
-            m.fit(x[on], target[on], weight[on] * _balance(target[on], weight[on]), seed=seed)
+            m.fit(x[on], target[on], weight[on], seed=seed)
             out[fold == f] = m.score(x[fold == f])
         worst = np.full(len(texts), -1.0)
         np.maximum.at(worst, owner, out)
@@ -171,15 +171,14 @@ def fit(texts: list[str], labels: list[int], more: list[str], rounds: int = 3, f
         target = np.where(unsafe & first, 1.0, 0.0)
         weight = np.where(unsafe & ~first, 0.3, 1.0)
         # what the other folds contradict is taken for a slip of the annotator
-        weight[unsafe & (worst[owner] < (0.15, 0.25, 0.3)[min(k, 2)])] = 0.0
-        weight[~unsafe & (out > (0.98, 0.95, 0.9)[min(k, 2)])] = 0.0
+        weight[unsafe & (worst[owner] < (0.04, 0.08, 0.1)[min(k, 2)])] = 0.0
     model = FactorizationMachine(seed=seed)
-    model.fit(x, target, weight * _balance(target, weight), seed=seed)
+    model.fit(x, target, weight, seed=seed)
     if more:
         rows2, _ = _split(more)
         rows2 = [list(r) for r in dict.fromkeys(map(tuple, rows2))]
         x2 = padded(rows2)
-        for high in (0.85, 0.85):
+        for high in (0.85, 0.75, 0.65):
             p = model.score(x2)
             sure = (p > high) | (p < 0.05)
             xs = np.zeros((len(x) + int(sure.sum()), max(x.shape[1], x2.shape[1])), np.int32)
@@ -187,16 +186,10 @@ def fit(texts: list[str], labels: list[int], more: list[str], rounds: int = 3, f
             xs[len(x) :, : x2.shape[1]] = x2[sure]
             ts, ws = np.concatenate([target, (p[sure] > 0.5).astype(float)]), np.concatenate([weight, np.full(int(sure.sum()), 0.5)])
             model = FactorizationMachine(seed=seed)
-            model.fit(xs, ts, ws * _balance(ts, ws), epochs=6, seed=seed)
+            model.fit(xs, ts, ws, epochs=8, seed=seed)
     return model
 
 
-def _balance(target: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Raises the rarer class, by the fourth root of how much rarer it is, at most twice."""
-    pos, neg = float(weight[target == 1].sum()), float(weight[target == 0].sum())
-    return np.where(target == 1, min(2.0, max(1.0, neg / max(pos, 1e-9)) ** 0.25), 1.0)
-
-
 def fit_on(df: DataFrame, labels: DataFrame, id_col: str, text: str, sample_rows: int = 60_000, unlabelled_rows: int = 15_000) -> FactorizationMachine | None:
     """labels: (id, label safe or unsafe). Both samples are the rows with the smallest hash of their id."""
     given = labels.groupBy(id_col).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo = hi and lo in ('safe', 'unsafe')")
