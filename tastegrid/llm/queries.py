@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastegrid.llm import langid, pii, safety
+from tastegrid.llm import langid, pii, safety, truncation
 from tastegrid.llm.top_n import latest, top_n
 from tastegrid.sources.tables import table
 
@@ -83,8 +83,29 @@ def p6_segments(spark: SparkSession, d: str) -> DataFrame:
     return found.select("raw_id", "language", F.explode("segments").alias("s")).select("raw_id", "language", "s.start", "s.stop", "s.confidence")
 
 
+def _ends(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text", "source", F.length("text").alias("chars"))
+    return truncation.flag(docs, "doc_id", "text", "source", "chars", truncation.fit_on(docs, "doc_id", "text"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _ends(spark, d).where("truncated").select("doc_id")
+
+
+def p10_source_rates(spark: SparkSession, d: str) -> DataFrame:
+    hit = F.col("truncated")
+    return _ends(spark, d).groupBy("source").agg(
+        F.count("*").alias("texts"), F.count_if(hit).alias("truncated"), F.count_if(hit & F.col("significant")).alias("at_fixed_length"), F.avg(hit.cast("double")).alias("rate")
+    )
+
+
+def p10_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.significant_lengths(table(spark, d, "documents").select("source", F.length("text").alias("chars")), "source", "chars").select("source", "length", "n")
+
+
 QUERIES = {"p1_found": p1_found, "p1_top_ten": p1_top_ten, "p3_found": p3_found, "p3_redacted": p3_redacted,
     "p4_found": p4_found, "p4_scores": p4_scores, "p4_source_rates": p4_source_rates, "p6_found": p6_found, "p6_segments": p6_segments,
+    "p10_found": p10_found, "p10_source_rates": p10_source_rates, "p10_lengths": p10_lengths,
 }
 
 _P1 = """
