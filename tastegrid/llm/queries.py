@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastegrid.llm import langid, pii, safety, truncation
+from tastegrid.llm import langid, linkage, pii, safety, truncation
 from tastegrid.llm.top_n import latest, top_n
 from tastegrid.sources.tables import table
 
@@ -103,9 +103,27 @@ def p10_lengths(spark: SparkSession, d: str) -> DataFrame:
     return truncation.significant_lengths(table(spark, d, "documents").select("source", F.length("text").alias("chars")), "source", "chars").select("source", "length", "n")
 
 
+def p7_matches(spark: SparkSession, d: str) -> DataFrame:
+    """All matches with their confidence: two place_ids, or a place_id and a raw_id."""
+    places = table(spark, d, "raw_places")
+    reviews = table(spark, d, "raw_reviews").select("raw_id", "restaurant_hint", "city_id", "lat", "lng")
+    matches, members, mentions = linkage.link(places, reviews, table(spark, d, "cities").select("id", "lat", "lng", "radius_m"))
+    matches = matches.where("confidence > 0.5")
+    b = members.select(F.col("place_id").alias("id_b"), F.col("rid").alias("b"))
+    pairs = matches.where("not hint").join(members.select(F.col("place_id").alias("id_a"), F.col("rid").alias("a")), "a").join(b, "b")
+    hints = matches.where("hint").join(mentions.select(F.col("raw_id").alias("id_a"), F.col("rid").alias("a")), "a").join(b, "b")
+    both = pairs.select("id_a", "id_b", "confidence").unionByName(hints.select("id_a", "id_b", "confidence"))
+    return both.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "confidence")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_matches(spark, d).select("id_a", "id_b")
+
+
 QUERIES = {"p1_found": p1_found, "p1_top_ten": p1_top_ten, "p3_found": p3_found, "p3_redacted": p3_redacted,
     "p4_found": p4_found, "p4_scores": p4_scores, "p4_source_rates": p4_source_rates, "p6_found": p6_found, "p6_segments": p6_segments,
     "p10_found": p10_found, "p10_source_rates": p10_source_rates, "p10_lengths": p10_lengths,
+    "p7_found": p7_found, "p7_matches": p7_matches,
 }
 
 _P1 = """
