@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastegrid.llm import langid, linkage, pii, safety, truncation
+from tastegrid.llm import langid, linkage, mixing, packing, pii, safety, truncation
+from tastegrid.llm.tokens import token_counts
 from tastegrid.llm.top_n import latest, top_n
+from tastegrid.session import settle
 from tastegrid.sources.tables import table
 
+#: the domain of each source in the tree of the mixture
+DOMAINS = {"reddit": "social", "youtube": "social", "google": "places", "osm": "places", "user": "own", "manual": "own"}
+
 
 def _ranked(spark: SparkSession, d: str, n: int, hot_rows: int) -> DataFrame:
     scores = table(spark, d, "dish_scores")
@@ -120,10 +125,32 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_matches(spark, d).select("id_a", "id_b")
 
 
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with their tokens, counted once."""
+    return settle(token_counts(table(spark, d, "documents"), "doc_id", "text", ["source", "lang"]), "tokens")
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_items(_sized(spark, d), "doc_id", "tokens", table(spark, d, "containers"))
+
+
+def p8_fill_rates(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_rates(p8_packed(spark, d), table(spark, d, "containers"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_sized(spark, d), "doc_id", "source", "lang", "tokens", table(spark, d, "mix_targets"), DOMAINS)
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(p9_mix(spark, d), table(spark, d, "mix_targets"))
+
+
 QUERIES = {"p1_found": p1_found, "p1_top_ten": p1_top_ten, "p3_found": p3_found, "p3_redacted": p3_redacted,
     "p4_found": p4_found, "p4_scores": p4_scores, "p4_source_rates": p4_source_rates, "p6_found": p6_found, "p6_segments": p6_segments,
     "p10_found": p10_found, "p10_source_rates": p10_source_rates, "p10_lengths": p10_lengths,
     "p7_found": p7_found, "p7_matches": p7_matches,
+    "p8_packed": p8_packed, "p8_fill_rates": p8_fill_rates, "p9_mix": p9_mix, "p9_shares": p9_shares,
 }
 
 _P1 = """
