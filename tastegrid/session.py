@@ -43,6 +43,8 @@ def settle(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tastegrid/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # what led here is out of reach now: a collection lets Spark's cleaner drop its shuffles and broadcasts
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
