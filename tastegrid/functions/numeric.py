@@ -24,7 +24,8 @@ def half_life_decay(age_days, half_life: float = 180.0) -> Column:
 
 def age_days(ts, now, missing: float = 365.0) -> Column:
     """Days from ts to now with fractions, at least 0; `missing` for a null ts."""
-    return F.coalesce(F.greatest(F.lit(0.0), (F.unix_micros(_c(now)) - F.unix_micros(_c(ts))) / F.lit(DAY_US)), F.lit(missing))
+    days = (F.unix_micros(_c(now)) - F.unix_micros(_c(ts))) / F.lit(DAY_US)
+    return F.when(_c(ts).isNull(), F.lit(missing)).otherwise(F.greatest(F.lit(0.0), days))  # greatest() would skip the null
 
 
 def shrink(observed, weight, prior, strength: float = 6.0) -> Column:

@@ -88,15 +88,15 @@ def near_positions(coords: DataFrame, radius_m: float, rows_per_strip: int = 400
     lo, hi = _strip_of(F.greatest(F.col("lat") - F.lit(reach), F.lit(-90.0)), bounds), _strip_of(F.col("lat"), bounds)
     rows = coords.withColumn("own", hi).withColumn("strip", F.explode(F.sequence(lo, F.col("own"))))
     # the widest reach in longitude of the strip bounds what has to stay active
-    wrap = F.lit(180.0 - 1e-6)
     width = F.when(
         F.radians(F.abs("lat")) + F.lit(2 * radius_m / EARTH_M) >= math.pi / 2 - 1e-9, F.lit(360.0)
     ).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.lit(radius_m / EARTH_M)) / F.cos(F.radians(F.abs("lat")) + F.lit(radius_m / EARTH_M))))) * (1 + 1e-9) + 1e-9)
-    rows = rows.withColumn("w", width)
-    rows = rows.withColumn("x", F.explode(F.when((F.col("w") < wrap) & (F.col("lng") + F.col("w") >= 180), F.array(F.col("lng"), F.col("lng") - 360)).otherwise(F.array("lng"))))
-    rows = rows.select("strip", "x", "lat", "lng", "w", (F.col("own") == F.col("strip")).alias("native"))
+    rows = rows.withColumn("w", F.least(width, F.lit(180.0)))
+    # positions near the eastern edge come again beyond the western one; such a copy is only looked back at
+    rows = rows.withColumn("x", F.explode(F.when(F.col("lng") + F.col("w") >= 180, F.array(F.col("lng"), F.col("lng") - 360)).otherwise(F.array("lng"))))
+    rows = rows.select("strip", "x", "lat", "lng", "w", (F.col("own") == F.col("strip")).alias("native"), (F.col("x") == F.col("lng")).alias("real"))
     parts = max(1, min(len(bounds) + 1, 16 * coords.sparkSession.sparkContext.defaultParallelism))
-    rows = rows.repartition(parts, "strip").sortWithinPartitions("strip", "x")
+    rows = rows.repartition(parts, "strip").sortWithinPartitions("strip", "x", "real")
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keep: pd.DataFrame | None = None
@@ -106,14 +106,14 @@ def near_positions(coords: DataFrame, radius_m: float, rows_per_strip: int = 400
                     keep = None
                 both = part if keep is None else pd.concat([keep, part], ignore_index=True)
                 first = len(both) - len(part)
-                x, lat, lng, w, native = (both[c].to_numpy() for c in ("x", "lat", "lng", "w", "native"))
+                x, lat, lng, w, native, real = (both[c].to_numpy() for c in ("x", "lat", "lng", "w", "native", "real"))
                 start = np.searchsorted(x, x[first:] - w[first:], side="left")
-                count = np.arange(first, len(both)) - start
+                count = np.where(real[first:], np.arange(first, len(both)) - start, 0)
                 for at in _blocks(count, 2_000_000):
                     n = count[at]
                     j = np.repeat(np.arange(first, len(both))[at], n)
                     i = np.repeat(start[at], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-                    near = np.abs(lat[i] - lat[j]) <= reach
+                    near = (np.abs(lat[i] - lat[j]) <= reach) & (real[i] | (x[j] - x[i] < 180))
                     i, j = i[near], j[near]
                     d = haversine_np(lat[i], lng[i], lat[j], lng[j])
                     i_owns = (lat[i] < lat[j]) | ((lat[i] == lat[j]) & (lng[i] <= lng[j]))

@@ -44,7 +44,7 @@ SCORES = f"""{OBS},
 rows1 as (
   select *, (greatest(-1.0, least(1.0, sentiment)) + 1) / 2 as p, greatest(0.0, least(1.0, confidence)) as c,
     case source when 'user' then 0.90::double when 'manual' then 0.85::double when 'reddit' then 0.75::double when 'youtube' then 0.60::double when 'osm' then 0.40::double else 0.5::double end as q,
-    coalesce(greatest(0.0, (epoch_us(timestamp '{NOW}') - epoch_us(published_at)) / 86400e6), 365.0) as age from obs),
+    case when published_at is null then 365.0 else greatest(0.0, (epoch_us(timestamp '{NOW}') - epoch_us(published_at)) / 86400e6) end as age from obs),
 rows2 as (select *, case when age <= 0 then 1.0 else pow(0.5::double, age / 180) end as d from rows1),
 prior as (select dish_id, city_id, case when count(*) >= 10 then avg(p) end as prior from rows2 group by all),
 med as (select dish_id, city_id, case when count(*) >= 3 then median(price) end as median_price from obs where price > 0 group by all),
