@@ -164,7 +164,7 @@ def win5_latest_neighbours(spark, d):
 def snk1_upserted_scores(spark, d):
     o = observations(spark, d)
     old = S.score_pairs(o.where("method = 'ai'"), now())
-    new = S.score_pairs(o.where("restaurant_id % 10 = 3"), now())  # the pairs touched by a batch: the restaurants it names
+    new = S.score_pairs(o.where(F.col("published_at") >= "2001-01-01"), now())  # what a later batch brought
     return S.upsert(old, new, S.PAIR).select(*S.PAIR, "mention_count", "score")
 
 
@@ -248,9 +248,8 @@ SQL = {
     "win1_latest_observation": f"with {OBS} select dish_id, restaurant_id, review_id, published_at from obs qualify row_number() over (partition by dish_id, restaurant_id order by published_at desc, review_id desc) = 1",
     "win4_mention_share": f"with {SCORES} select restaurant_id, dish_id, mention_count, round(mention_count / sum(mention_count) over (partition by restaurant_id), 6) as share, share >= 0.05 and mention_count >= 3 as signature from scores",
     "win5_latest_neighbours": f"with {OBS} select restaurant_id, count(*) as n, min(published_at) as oldest from (select * from obs qualify row_number() over (partition by restaurant_id order by published_at desc, review_id desc) <= 40) group by all",
-    "snk1_upserted_scores": f"""select * from (with {_over("l_linestatus = 'O'")} select dish_id, restaurant_id, city_id, mention_count, score from scores) where restaurant_id % 10 <> 3
-      or (dish_id, restaurant_id, city_id) not in (with {_over('l_suppkey % 10 = 3')} select (dish_id, restaurant_id, city_id) from scores)
-      union all (with {_over('l_suppkey % 10 = 3')} select dish_id, restaurant_id, city_id, mention_count, score from scores)""",
+    "snk1_upserted_scores": f"""with o as (with {_over("l_linestatus = 'O'")} select dish_id, restaurant_id, city_id, mention_count, score from scores), n as (with {_over("l_shipdate >= timestamp '2001-01-01'")} select dish_id, restaurant_id, city_id, mention_count, score from scores)
+      select * from o where (dish_id, restaurant_id, city_id) not in (select (dish_id, restaurant_id, city_id) from n) union all select * from n""",
     "snk3_snapshots": f"""with n as (with {SCORES} select dish_id, restaurant_id, city_id, mention_count, score from scores), o as (with {_over("l_shipdate < timestamp '2001-06-01'")} select dish_id, restaurant_id, city_id, mention_count as m, score as s from scores)
       select n.* from n left join o using (dish_id, restaurant_id, city_id) where m is null or abs(score - s) >= 0.5 or (score is null) <> (s is null) or abs(mention_count - m) >= 2""",
     "srt1_ranked_order": f"with {SCORES} select dish_id, restaurant_id, city_id, score, cast(row_number() over (partition by dish_id order by case when status = 'ranked' then 0 else 1 end, score desc nulls last, restaurant_id, city_id) as int) as place from scores qualify place <= 20",
