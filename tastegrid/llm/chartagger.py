@@ -60,6 +60,7 @@ class CharTagger:
         h = hidden
         f = np.float32
         self.h, self.k = h, labels
+        self.ordinary: set[str] = set()
         self.p = {
             "char": (r.normal(size=(VOCAB, EMBED))).astype(f),
             "w": (r.normal(size=(2, EMBED, 4 * h)) / np.sqrt(EMBED)).astype(f),

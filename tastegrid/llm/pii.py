@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,10 @@ ADDRESS = re.compile(
 )
 
 
+#: what follows a name that is the beginning of an e-mail address
+PART_OF_ADDRESS = re.compile(r"\.\w|@\w|\s?[\[(]at[\])]")
+
+
 def _names_pattern(names: set[str]) -> re.Pattern | None:
     if not names:
         return None
@@ -195,6 +200,17 @@ def training_windows(fields: list[tuple[int, str]], pattern: re.Pattern | None,
     return texts, labels
 
 
+def ordinary_words(texts: list[str], names: set[str], least: int = 5) -> set[str]:
+    """Words of at least `least` texts that are mostly written small and are no known names."""
+    texts_with: Counter = Counter()
+    small: Counter = Counter()
+    for t in texts:
+        ws = set(re.findall(r"[^\W\d_]{3,}", t))
+        texts_with.update({w.lower() for w in ws})
+        small.update({w for w in ws if w.islower()})
+    return {w for w, c in texts_with.items() if c >= least and 2 * small[w] >= c and w not in names}
+
+
 def fit_tagger(texts: list[str], authors: list[str], names: set[str], hidden: int = 32, epochs: int = 7, max_windows: int = 22_000, mine_texts: int = 12_000, seed: int = 7) -> tuple[CharTagger, list[float]]:
     """Trains on at most max_windows windows, spread over fields, kinds and classes of texts without spans."""
     names = grow_names(names, authors)
@@ -208,6 +224,7 @@ def fit_tagger(texts: list[str], authors: list[str], names: set[str], hidden: in
     pick = pick[:max_windows]
     has = [i for i in pick if ys[i].any()]
     model = CharTagger(2 * len(KINDS) + 1, hidden, seed)
+    model.ordinary = ordinary_words(texts, names)
     if not has:
         model.p["bias"][0] = 50.0
         return model, []
@@ -234,8 +251,8 @@ def _fit(model: CharTagger, ws: list[str], ys: list[np.ndarray], epochs: int, ra
     return model.fit(x, lengths, y, epochs=epochs, rate=rate, seed=seed)
 
 
-def _checked(kind: str, piece: str) -> bool:
-    """What the kind cannot do without."""
+def _checked(kind: str, piece: str, ordinary: set[str] | frozenset) -> bool:
+    """What the kind cannot do without; a name isn't made of ordinary words alone."""
     low = piece.lower()
     digits = sum(c.isdigit() for c in piece)
     if kind == "email":
@@ -246,7 +263,8 @@ def _checked(kind: str, piece: str) -> bool:
         return digits >= 4
     if kind == "address":
         return digits >= 1 and sum(c.isalpha() for c in piece) >= 3
-    return digits == 0 and sum(c.isalpha() for c in piece) >= 2 and "@" not in piece
+    words = [w for w in re.findall(r"[^\W\d_]{2,}", low) if w not in TITLES.split("|")]
+    return digits == 0 and bool(words) and "@" not in piece and not all(w in ordinary for w in words)
 
 
 def spans_of(model: CharTagger, texts: list[str]) -> list[list[tuple[int, int, str]]]:
@@ -257,7 +275,7 @@ def spans_of(model: CharTagger, texts: list[str]) -> list[list[tuple[int, int, s
             kind = (y + 1) // 2
             edges = np.flatnonzero((np.diff(kind, prepend=0) != 0) | ((y % 2 == 1) & (y > 0)))
             for a, b in zip(edges, [*edges[1:], len(y)]):
-                if kind[a] and (piece := text[a:b].rstrip(" .,;)")) and _checked(KINDS[kind[a] - 1], piece):
+                if kind[a] and (piece := text[a:b].rstrip(" .,;)")) and _checked(KINDS[kind[a] - 1], piece, model.ordinary) and not (kind[a] == 5 and PART_OF_ADDRESS.match(text[a + len(piece) :])):
                     spans.append((int(a), int(a) + len(piece), KINDS[kind[a] - 1]))
         out.append(spans)
     return out
@@ -273,14 +291,14 @@ def fit_on(spark: SparkSession, df: DataFrame, id_col: str, text: str, author: s
 def tag_fields(df: DataFrame, id_col: str, fields: list[str], model: CharTagger, chunk: int = 2000) -> DataFrame:
     """(id, and for each field f: f, f_spans array<struct<start,stop,kind>>); offsets in code points."""
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast((model.h, model.k, model.p))
+    shared = spark.sparkContext.broadcast((model.h, model.k, model.p, model.ordinary))
     struct = "array<struct<start:int,stop:int,kind:string>>"
     schema = f"{id_col} {df.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{f} string, {f}_spans {struct}" for f in fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        h, k, p = shared.value
+        h, k, p, ordinary = shared.value
         m = CharTagger(k, h)
-        m.p = p
+        m.p, m.ordinary = p, ordinary
         for got in batches:
             for a in range(0, len(got), chunk):
                 part = got.iloc[a : a + chunk]
