@@ -88,6 +88,35 @@ def replay_updates(df: DataFrame, key: str) -> DataFrame:
     return S.latest_per_key(rows, [key], F.col("_batch").desc()).drop("_batch")
 
 
+def refused_requests(df: DataFrame, key: str, ts: str, order: str, hours: float, limit: int) -> DataFrame:
+    """(key, refused): requests beyond the limit in windows that open at a key's first request after the last one closed.
+
+    Requests are sorted on disk and read as a stream, so only one window's state is held, whatever a key's size."""
+    rows = df.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(key, F.unix_micros(ts).alias("at"), F.col(order).alias("o"))
+    rows = rows.repartition(key).sortWithinPartitions(key, "at", "o")
+    length = int(hours * 3_600_000_000)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        k, end, used, refused = None, None, 0, 0
+        for got in batches:
+            done = []
+            for x, at in zip(got[key].tolist(), got["at"].tolist()):
+                if x != k:
+                    if k is not None:
+                        done.append((k, refused))
+                    k, end, refused = x, None, 0
+                if end is None or at >= end:
+                    end, used = at + length, 0
+                used += 1
+                refused += used > limit
+            if done:
+                yield pd.DataFrame(done, columns=[key, "refused"])
+        if k is not None:
+            yield pd.DataFrame([(k, refused)], columns=[key, "refused"])
+
+    return rows.mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, refused long")
+
+
 def incremental_scores(batches: list[DataFrame], now: Column, settle: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """Scores kept up to date by batches of observations: only (dish, city) groups a batch touches are computed anew, as their
     priors and medians move with it. Equal to one computation over all observations."""
