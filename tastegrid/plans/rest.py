@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tastegrid.functions import numeric as N
 from tastegrid.functions import text as T
 from tastegrid.operators import scoring as S
+from tastegrid.operators.profiles import profile_chips
 from tastegrid.plans.bindings import OBS, SCORES, now, observations
 from tastegrid.plans.texts import normal_sql, tokens_sql
 from tastegrid.sources.tables import table as t
@@ -162,6 +163,18 @@ def fe6_marker_clusters(spark, d):
     return t(spark, d, "restaurants").where("lat is not null and lng is not null").groupBy(cell("lat").alias("y"), cell("lng").alias("x")).agg(F.count("*").alias("n"))
 
 
+def krn6_profiles(spark, d):
+    o = observations(spark, d)
+    dishes = o.groupBy("restaurant_id", "dish_id").agg(F.avg("sentiment").alias("s"), F.count("*").cast("int").alias("m"))
+    dishes = dishes.groupBy("restaurant_id").agg(F.collect_list(F.struct(F.col("dish_id").alias("name"), F.col("s").alias("sentiment"), F.col("m").alias("mentions"))).alias("dishes"))
+    labels = o.select("restaurant_id", F.explode("attributes").alias("a")).groupBy("restaurant_id", "a").agg(F.count("*").alias("c")).groupBy("restaurant_id").agg(F.map_from_entries(F.collect_list(F.struct("a", "c"))).alias("attributes"))
+    base = o.groupBy("restaurant_id", "city_id").agg(F.count("*").cast("int").alias("mentions"), F.avg("price").alias("price"), (1 - F.least(F.lit(1.0), F.stddev_pop("sentiment"))).alias("consistency"))
+    base = base.join(S.medians(o, ["city_id"]), "city_id", "left").withColumn("price_ratio", F.col("price") / F.col("median_price"))
+    x = base.join(dishes, "restaurant_id").join(labels, "restaurant_id", "left").join(S.trends(o, ["restaurant_id"], now()).select("restaurant_id", F.col("direction").alias("trend")), "restaurant_id", "left")
+    x = x.withColumns({"aspects": F.create_map().cast("map<string,double>"), "cuisines": F.array().cast("array<string>")})
+    return profile_chips(x, "restaurant_id").select("restaurant_id", F.array_join("chips", "|").alias("chips"))
+
+
 def krn16_recommendations(spark, d):
     s = F.col("sentiment")
     return observations(spark, d).groupBy("dish_id", F.when(s >= 0.5, "yes").when(s <= -0.4, "no").alias("recommended")).agg(F.count("*").alias("n"))
@@ -170,7 +183,7 @@ def krn16_recommendations(spark, d):
 _FNS = [
     flt1_evidence, flt6_trend, flt9_semi, flt11_distances, prj1_badges, jn3_scores_dishes, jn5_left_sort_key, jn9_three_way, agg25_dish_ids, snk6_upserted_trends, snk13_toggles, snk14_first_of_nullable_keys,
     snk15_retained, srt4_by_similarity, srt5_queue_order, lim2_top_k, dat3_cutoffs, dat6_lastmod, arr2_clean_labels, jsn1_recovered_json, jsn4_cache_keys, ext1_alias_index, res5_mentionable,
-    str9_windowed_limits, str14_reports, str16_last_actions, fe2_sentiment_labels, fe6_marker_clusters, krn16_recommendations,
+    str9_windowed_limits, str14_reports, str16_last_actions, fe2_sentiment_labels, fe6_marker_clusters, krn6_profiles, krn16_recommendations,
 ]
 QUERIES = {f.__name__: f for f in _FNS}
 
