@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-RANGES = 1 << 12
+#: hash ranges of an epoch, as a power of two
+RANGE_BITS = 12
 #: most leaves (domain, source, language) the driver budgets
 MAX_LEAVES = 100_000
 
@@ -91,7 +92,7 @@ def mix(items: DataFrame, id_col: str, source: str, language: str, size: str, ta
         plan.append((s, lang, whole, int(round(b - whole * epochs[s, lang])), want[s][1]))
     plan = spark.createDataFrame(plan, "source string, language string, whole int, prefix long, most int")
     rows = rows.join(F.broadcast(plan), ["source", "language"])  # at most MAX_LEAVES rows
-    rows = rows.withColumn("order", F.xxhash64(F.lit(seed), "whole", "id")).withColumn("range", F.shiftrightunsigned("order", 64 - 12).cast("int"))
+    rows = rows.withColumn("order", F.xxhash64(F.lit(seed), "whole", "id")).withColumn("range", F.shiftrightunsigned("order", 64 - RANGE_BITS).cast("int"))
     leaf = ["source", "language"]
     sums = rows.groupBy(*leaf, "range", "prefix").agg(F.sum("tokens").alias("t"))
     sums = sums.withColumn("before", F.coalesce(F.sum("t").over(W.partitionBy(*leaf).orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
