@@ -164,4 +164,12 @@ ranked as (
 SQL = {
     "p1_found": _P1 + "select city_id, dish_id, restaurant_id from ranked where rank <= 3",
     "p1_top_ten": _P1 + "select city_id, dish_id, restaurant_id, score, rank from ranked where rank <= 10",
+    "p10_lengths": """
+with per as (select source, length(text) as length, count(*) as n from documents where length(text) > 0 group by all),
+a as (select *, sum(n) over (partition by source order by length rows between current row and unbounded following) as at_risk,
+  sum(n) over (partition by source order by length range between 25 preceding and 25 following) - sum(n) over (partition by source order by length range between 1 preceding and 1 following) as deaths from per),
+b as (select *, greatest((deaths + 1.0) / (at_risk * least(48, length + 24)), 1e-12) * at_risk as mu from a),
+c as (select *, case when n > mu then exp(-(n * ln(n / mu) - n + mu)) else 1 end as p, count(*) over () as tests from b),
+d as (select *, row_number() over (order by p, source nulls first, length) as rk from c where p <= 0.01 and n >= 5)
+select source, length, n from d where rk <= (select max(rk) from d where p <= rk / tests * 0.01)""",
 }
