@@ -249,24 +249,44 @@ def link(places: DataFrame, reviews: DataFrame, cities: DataFrame, rounds: int =
     ))
     keyed = keyed.select("rid", "source", F.col("lat").isNull().alias("lost"), F.explode(keys).alias("key"))
     x, y = keyed.where("lost").alias("x"), keyed.alias("y")
-    lost = x.join(y, F.expr("x.key = y.key and x.rid <> y.rid and x.source <> y.source"))
-    lost = lost.select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b"), F.lit(None).cast("double").alias("distance_m")).distinct()
+    twins = x.join(y, F.expr("x.key = y.key and x.rid <> y.rid and x.source <> y.source"))
+    proof = F.when(F.col("x.key").startswith("n|"), 1).when(F.col("x.key").startswith("at|"), 3).otherwise(2)
+    twins = twins.groupBy(F.col("x.rid").alias("rid"), F.col("y.rid").alias("twin")).agg(F.max(proof).alias("proof"))
+    twins = settle(twins, "twins")
+    nowhere = F.lit(None).cast("double").alias("distance_m")
+    lost = twins.select(F.least("rid", "twin").alias("a"), F.greatest("rid", "twin").alias("b"), nowhere).distinct()
     side = lambda df, s, k: df.select(F.col("rid").alias(k), *[F.col(c).alias(c + s) for c in ("source", "core", "kinds", "lead", "joined", "addr", "tel")])
-    pairs = near.unionByName(lost).join(side(recs, "_a", "a"), "a").join(side(recs, "_b", "b"), "b").where("source_a <> source_b").withColumn("hint", F.lit(False))
+    pairs = near.unionByName(lost).join(side(recs, "_a", "a"), "a").join(side(recs, "_b", "b"), "b").where("source_a <> source_b").withColumns({"hint": F.lit(False), "sure": F.lit(True)})
 
-    # candidates of hints: records around them, or, without coordinates, records of their city whose name differs by a letter at most
+    # candidates of hints: records around them, or, without coordinates, records of their city whose name differs by a letter at most; and the twins of both that lie nowhere
     at = uniq.where("lat is not null").withColumn("reach", F.lit(REACH_M))
     h_near = points_in_regions(placed, "rid", at, "rid", "reach").select(F.col("region_id").alias("a"), F.col("id").alias("b"), "distance_m")
     # chains, also misspelt, name no single place
     chains = recs.join(spots.where("cells >= 4").select("core"), "core", "left_semi").select("sound").distinct().select(F.explode(_deletions("sound")).alias("k")).distinct()
     floating = uniq.where("lat is null").select("rid", F.col("city_id").alias("city"), F.explode(_deletions("sound")).alias("k"))
-    homes = recs.select("rid", F.explode("cities").alias("city"), F.explode(_deletions("sound")).alias("k"))
-    floating, homes = (x.join(x.join(chains, "k", "left_semi").select("rid").distinct(), "rid", "left_anti") for x in (floating, homes))
-    h_named = floating.alias("h").join(homes.alias("r"), ["city", "k"]).select(F.col("h.rid").alias("a"), F.col("r.rid").alias("b"), F.lit(None).cast("double").alias("distance_m")).distinct()
+    anywhere = uniq.select("rid", F.explode(_deletions("sound")).alias("k"))
+    # a record that lies nowhere is at home at the one spot of its best twins of no other kind, or, if it has none, anywhere
+    apart = lambda c: (F.size(f"x.{c}") > 0) & (F.size(f"y.{c}") > 0) & ~F.arrays_overlap(f"x.{c}", f"y.{c}")
+    twins = twins.join(recs.alias("x").select("rid", F.struct("kinds", "lead").alias("x")), "rid")
+    twins = twins.join(placed.select(F.col("rid").alias("twin"), F.struct("kinds", "lead").alias("y"), "lat", "lng", F.col("cities").alias("there")), "twin")
+    twins = twins.select("rid", "twin", F.when(~apart("kinds") & ~apart("lead"), F.col("proof")).otherwise(0).alias("proof"), F.struct(F.round(F.col("lat") * 20), F.round(F.col("lng") * 20)).alias("spot"), "there")
+    twins = twins.withColumn("best", (F.col("proof") > 0) & (F.col("proof") == F.max("proof").over(W.partitionBy("rid"))))
+    fits = twins.where("best").groupBy("rid").agg(F.countDistinct("spot").alias("spots"), F.array_distinct(F.flatten(F.collect_list("there"))).alias("there"))
+    adrift = recs.where("lat is null").join(fits, "rid", "left").withColumn("k", F.explode(_deletions("sound")))
+    adrift = settle(adrift.select("rid", F.coalesce("spots", F.lit(0)).alias("spots"), "there", "k"), "adrift")
+    homes = placed.select("rid", F.explode("cities").alias("city"), F.explode(_deletions("sound")).alias("k")).unionByName(adrift.where("spots = 1").select("rid", F.explode("there").alias("city"), "k"))
+    free = adrift.where("spots = 0").select("rid", "k")
+    floating, homes, anywhere, free = (x.join(x.join(chains, "k", "left_semi").select("rid").distinct(), "rid", "left_anti") for x in (floating, homes, anywhere, free))
+    h_named = floating.alias("h").join(homes.alias("r"), ["city", "k"]).select(F.col("h.rid").alias("a"), F.col("r.rid").alias("b"))
+    h_named = settle(h_named.unionByName(anywhere.alias("h").join(free.alias("r"), "k").select(F.col("h.rid").alias("a"), F.col("r.rid").alias("b"))).distinct(), "h-named")
+    # what a hint may mean it passes on to the twins that lie nowhere; where their spot is open, without support of its own, only by transitivity
+    via = twins.join(fits.select("rid", "spots"), "rid", "left").select(F.col("twin").alias("b"), F.col("rid").alias("lost"), F.coalesce(F.col("best") & (F.col("spots") == 1), F.lit(False)).alias("sure"))
+    h_twin = h_near.select("a", "b").unionByName(h_named).join(via, "b").groupBy("a", F.col("lost").alias("b")).agg(F.max("sure").alias("sure")).join(h_named, ["a", "b"], "left_anti")
+    h_all = h_near.withColumn("sure", F.lit(True)).unionByName(h_named.select("a", "b", nowhere, F.lit(True).alias("sure"))).unionByName(h_twin.select("a", "b", nowhere, "sure"))
     blank = uniq.withColumns({"source": F.lit("hint"), "addr": F.lit(None).cast("string"), "tel": F.lit(None).cast("string")})
-    h_pairs = h_near.unionByName(h_named).join(side(blank, "_a", "a"), "a").join(side(recs, "_b", "b"), "b").withColumn("hint", F.lit(True))
+    h_pairs = h_all.join(side(blank, "_a", "a"), "a").join(side(recs, "_b", "b"), "b").withColumn("hint", F.lit(True))
 
-    cols = ["a", "b", "hint", "distance_m", "source_a", "source_b", "core_a", "core_b", "kinds_a", "kinds_b", "lead_a", "lead_b", "joined_a", "joined_b", "addr_a", "addr_b", "tel_a", "tel_b"]
+    cols = ["a", "b", "hint", "sure", "distance_m", "source_a", "source_b", "core_a", "core_b", "kinds_a", "kinds_b", "lead_a", "lead_b", "joined_a", "joined_b", "addr_a", "addr_b", "tel_a", "tel_b"]
     cand = pairs.select(*cols).unionByName(h_pairs.select(*cols)).repartition(parallelism(spark))
     cand = cand.withColumn("like", compare_names("core_a", "core_b", "kinds_a", "kinds_b", "joined_a", "joined_b"))
     name = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("like.name") - 0.55) / 0.3))
@@ -278,7 +298,7 @@ def link(places: DataFrame, reviews: DataFrame, cities: DataFrame, rounds: int =
     w = lambda c, x: F.when(c, x).otherwise(0.0)
     cand = cand.select(
         F.xxhash64("a", "b").alias("var"), "a", "b", "hint", "source_a", "source_b",
-        (4.0 + w(same_addr, 3.0) + w(same_tel, 2.0)).alias("up"), support.alias("up_to"),
+        w(F.col("sure"), 4.0 + w(same_addr, 3.0) + w(same_tel, 2.0)).alias("up"), support.alias("up_to"),
         (0.8 + 5.0 * F.col("like.kind") + w(other_addr, 3.0) + w(other_tel, 2.5) + w(other_lead, 1.5)).alias("down"), F.lit(0.0).alias("down_from"),
     ).where("up_to > 0.1")
     cand = settle(cand, "candidates")

@@ -301,6 +301,36 @@ def test_linkage(spark):
     assert all(0 <= r["confidence"] <= 1 for r in matches.collect())
 
 
+def _linked(spark, rows, reviews, rounds=12):
+    """Pairs of place_ids, and of raw_id and place_id, with a confidence above 0.5."""
+    cities = spark.createDataFrame([("ct", 22.0, 88.0, 30000), ("far", 51.0, 2.0, 30000)], "id string, lat double, lng double, radius_m int")
+    matches, members, mentions = linkage.link(spark.createDataFrame(rows, PLACES), spark.createDataFrame(reviews, REVIEWS), cities, rounds=rounds)
+    best = matches.where("confidence > 0.5")
+    a, b = members.select(F.col("rid").alias("a"), F.col("place_id").alias("x")), members.select(F.col("rid").alias("b"), F.col("place_id").alias("y"))
+    pairs = {tuple(sorted((r["x"], r["y"]))) for r in best.where("not hint").join(a, "a").join(b, "b").collect()}
+    return pairs, {(r["raw_id"], r["y"]) for r in best.where("hint").join(mentions.select(F.col("rid").alias("a"), "raw_id"), "a").join(b, "b").collect()}
+
+
+def _bakeries():
+    t = datetime(2026, 1, 1)
+    return [(f"pl-{i:03d}", "osm", f"n{i}", f"{n} Bakery", 22.0 + i * 0.004, 88.0, None, None, t) for i, n in enumerate("Abelur Bodekin Cadvor Dimuzel Efrono Fubakit Gorimel Hanubo Ikrasel Jutovar".split())]
+
+
+def test_linkage_hints_of_places_without_coordinates(spark):
+    t = datetime(2026, 1, 1)
+    rows = _bakeries() + [
+        ("pl-100", "google", "g0", "Abelur Bakery", None, None, None, None, t), ("pl-101", "google", "g1", "Bodekin Bakery", 0.0, 0.0, None, None, t),
+        ("pl-102", "google", "g2", "Zumirak Bakery", None, None, None, None, t),
+    ]
+    reviews = [
+        ("rv-1", "Abelur Bakery", "ct", None, None), ("rv-2", "Bodekin", "ct", 22.0041, 88.0), ("rv-3", "Zumirak", "ct", None, None),
+        ("rv-4", "Abelur Bakery", "far", None, None), ("rv-5", "Bodekin", "far", 51.0, 2.0), ("rv-6", "Cadvor", "ct", None, None),
+    ]
+    pairs, hints = _linked(spark, rows, reviews)
+    assert {("pl-000", "pl-100"), ("pl-001", "pl-101")} <= pairs
+    assert {("rv-1", "pl-000"), ("rv-1", "pl-100"), ("rv-2", "pl-001"), ("rv-2", "pl-101"), ("rv-3", "pl-102"), ("rv-6", "pl-002")} == hints
+
+
 def test_admm_solves_a_known_problem(spark):
     # two variables wanting 1 that may add up to 1 at most: the stronger pull wins
     v = spark.createDataFrame([(1, 4.0, 1.0, 0.5, 0.0), (2, 2.0, 1.0, 0.5, 0.0), (3, 1.0, 0.8, 0.2, 0.0)], "var long, up double, up_to double, down double, down_from double")
