@@ -1,7 +1,7 @@
 """Matching records of different sources without shared keys, as soft logic.
 
-Candidates share a neighbourhood (latitude-strip sweep), or, where coordinates are missing, a rare name, or a name with an
-address or phone. Each candidate pair is a variable between 0 and 1 under weighted hinge-loss rules:
+Candidates share a neighbourhood (latitude-strip sweep), or, where coordinates are missing, a name as it sounds but for a
+letter, or an address or phone with a name that is alike. Each candidate pair is a variable between 0 and 1 under weighted hinge-loss rules:
 
     similar name & near, or same address, or same phone  =>  match
     different kind of business, address or phone; without evidence  =>  no match
@@ -241,18 +241,24 @@ def link(places: DataFrame, reviews: DataFrame, cities: DataFrame, rounds: int =
     spots = recs.groupBy("core").agg(F.count("*").alias("n"), F.countDistinct(F.round(F.col("lat") * 20), F.round(F.col("lng") * 20)).alias("cells"))
     spots = settle(spots, "cores")
     keyed = recs.join(spots, "core")
-    keys = F.array_compact(F.array(
-        F.when(F.col("n") <= 12, F.concat(F.lit("n|"), "core")),
-        F.when(F.col("addr").isNotNull(), F.concat(F.lit("a|"), "core", F.lit("|"), "addr")),
-        F.when(F.col("tel").isNotNull(), F.concat(F.lit("t|"), "core", F.lit("|"), "tel")),
-        F.when(F.col("addr").isNotNull() & F.col("tel").isNotNull(), F.concat(F.lit("at|"), "addr", F.lit("|"), "tel")),
-    ))
+    name_keys = F.transform(_deletions("sound"), lambda k: F.concat(F.lit("n|"), k))
+    keys = F.concat(
+        F.when(F.col("n") <= 12, name_keys).otherwise(F.array().cast("array<string>")),
+        F.array_compact(F.array(F.concat(F.lit("a|"), "addr"), F.concat(F.lit("t|"), "tel"))),
+    )
     keyed = keyed.select("rid", "source", F.col("lat").isNull().alias("lost"), F.explode(keys).alias("key"))
     x, y = keyed.where("lost").alias("x"), keyed.alias("y")
     twins = x.join(y, F.expr("x.key = y.key and x.rid <> y.rid and x.source <> y.source"))
-    proof = F.when(F.col("x.key").startswith("n|"), 1).when(F.col("x.key").startswith("at|"), 3).otherwise(2)
-    twins = twins.groupBy(F.col("x.rid").alias("rid"), F.col("y.rid").alias("twin")).agg(F.max(proof).alias("proof"))
-    twins = settle(twins, "twins")
+    by = lambda k: F.max(F.col("x.key").startswith(k + "|"))
+    twins = twins.groupBy(F.col("x.rid").alias("rid"), F.col("y.rid").alias("twin")).agg(by("n").alias("named"), by("a").alias("addr"), by("t").alias("tel"))
+    traits = ("core", "kinds", "lead", "joined")
+    twins = twins.join(recs.select("rid", F.struct(*traits).alias("x")), "rid").join(recs.select(F.col("rid").alias("twin"), F.struct(*traits).alias("y"), "lat", "lng", F.col("cities").alias("there")), "twin")
+    # an address or phone alone needs a name that is alike at all
+    twins = twins.withColumn("like", compare_names("x.core", "y.core", "x.kinds", "y.kinds", "x.joined", "y.joined")).where("like.name > 0.55 or addr and tel")
+    apart = lambda c: (F.size(f"x.{c}") > 0) & (F.size(f"y.{c}") > 0) & ~F.arrays_overlap(f"x.{c}", f"y.{c}")
+    proof = F.when(apart("kinds") | apart("lead"), 0).when(F.expr("addr and tel"), 4).when(F.expr("named and (addr or tel)"), 3).when(F.expr("x.core = y.core"), 2).when(F.col("named"), 1).otherwise(0)
+    spot = F.when(F.col("lat").isNotNull(), F.struct(F.round(F.col("lat") * 20).alias("y"), F.round(F.col("lng") * 20).alias("x")))
+    twins = settle(twins.select("rid", "twin", proof.alias("proof"), spot.alias("spot"), "there"), "twins")
     nowhere = F.lit(None).cast("double").alias("distance_m")
     lost = twins.select(F.least("rid", "twin").alias("a"), F.greatest("rid", "twin").alias("b"), nowhere).distinct()
     side = lambda df, s, k: df.select(F.col("rid").alias(k), *[F.col(c).alias(c + s) for c in ("source", "core", "kinds", "lead", "joined", "addr", "tel")])
@@ -264,21 +270,18 @@ def link(places: DataFrame, reviews: DataFrame, cities: DataFrame, rounds: int =
     # chains, also misspelt, name no single place
     chains = recs.join(spots.where("cells >= 4").select("core"), "core", "left_semi").select("sound").distinct().select(F.explode(_deletions("sound")).alias("k")).distinct()
     floating = uniq.where("lat is null").select("rid", F.col("city_id").alias("city"), F.explode(_deletions("sound")).alias("k"))
-    anywhere = uniq.select("rid", F.explode(_deletions("sound")).alias("k"))
-    # a record that lies nowhere is at home at the one spot of its best twins of no other kind, or, if it has none, anywhere
-    apart = lambda c: (F.size(f"x.{c}") > 0) & (F.size(f"y.{c}") > 0) & ~F.arrays_overlap(f"x.{c}", f"y.{c}")
-    twins = twins.join(recs.alias("x").select("rid", F.struct("kinds", "lead").alias("x")), "rid")
-    twins = twins.join(placed.select(F.col("rid").alias("twin"), F.struct("kinds", "lead").alias("y"), "lat", "lng", F.col("cities").alias("there")), "twin")
-    twins = twins.select("rid", "twin", F.when(~apart("kinds") & ~apart("lead"), F.col("proof")).otherwise(0).alias("proof"), F.struct(F.round(F.col("lat") * 20), F.round(F.col("lng") * 20)).alias("spot"), "there")
+    anywhere = uniq.select("rid", "core", F.explode(_deletions("sound")).alias("k"))
+    # a record that lies nowhere is at home at the one spot of its best twins of no other kind, or, if it has none of its very name, anywhere
+    twins = twins.where("spot is not null")
     twins = twins.withColumn("best", (F.col("proof") > 0) & (F.col("proof") == F.max("proof").over(W.partitionBy("rid"))))
-    fits = twins.where("best").groupBy("rid").agg(F.countDistinct("spot").alias("spots"), F.array_distinct(F.flatten(F.collect_list("there"))).alias("there"))
+    fits = twins.where("best").groupBy("rid").agg(F.countDistinct("spot").alias("spots"), F.max("proof").alias("proof"), F.array_distinct(F.flatten(F.collect_list("there"))).alias("there"))
     adrift = recs.where("lat is null").join(fits, "rid", "left").withColumn("k", F.explode(_deletions("sound")))
-    adrift = settle(adrift.select("rid", F.coalesce("spots", F.lit(0)).alias("spots"), "there", "k"), "adrift")
+    adrift = settle(adrift.select("rid", F.coalesce("spots", F.lit(0)).alias("spots"), F.coalesce("proof", F.lit(0)).alias("proof"), "core", "there", "k"), "adrift")
     homes = placed.select("rid", F.explode("cities").alias("city"), F.explode(_deletions("sound")).alias("k")).unionByName(adrift.where("spots = 1").select("rid", F.explode("there").alias("city"), "k"))
-    free = adrift.where("spots = 0").select("rid", "k")
+    free = adrift.where("proof < 2").select("rid", "core", "proof", "k")
     floating, homes, anywhere, free = (x.join(x.join(chains, "k", "left_semi").select("rid").distinct(), "rid", "left_anti") for x in (floating, homes, anywhere, free))
     h_named = floating.alias("h").join(homes.alias("r"), ["city", "k"]).select(F.col("h.rid").alias("a"), F.col("r.rid").alias("b"))
-    h_named = settle(h_named.unionByName(anywhere.alias("h").join(free.alias("r"), "k").select(F.col("h.rid").alias("a"), F.col("r.rid").alias("b"))).distinct(), "h-named")
+    h_named = settle(h_named.unionByName(anywhere.alias("h").join(free.alias("r"), "k").where("r.proof = 0 or h.core = r.core").select(F.col("h.rid").alias("a"), F.col("r.rid").alias("b"))).distinct(), "h-named")
     # what a hint may mean it passes on to the twins that lie nowhere; where their spot is open, without support of its own, only by transitivity
     via = twins.join(fits.select("rid", "spots"), "rid", "left").select(F.col("twin").alias("b"), F.col("rid").alias("lost"), F.coalesce(F.col("best") & (F.col("spots") == 1), F.lit(False)).alias("sure"))
     h_twin = h_near.select("a", "b").unionByName(h_named).join(via, "b").groupBy("a", F.col("lost").alias("b")).agg(F.max("sure").alias("sure")).join(h_named, ["a", "b"], "left_anti")
@@ -290,15 +293,19 @@ def link(places: DataFrame, reviews: DataFrame, cities: DataFrame, rounds: int =
     cand = pairs.select(*cols).unionByName(h_pairs.select(*cols)).repartition(parallelism(spark))
     cand = cand.withColumn("like", compare_names("core_a", "core_b", "kinds_a", "kinds_b", "joined_a", "joined_b"))
     name = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("like.name") - 0.55) / 0.3))
-    close = F.when(F.col("distance_m").isNull(), 0.85).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (REACH_M - F.col("distance_m")) / 90.0)))
     same_addr, same_tel = F.coalesce(F.col("addr_a") == F.col("addr_b"), F.lit(False)), F.coalesce(F.col("tel_a") == F.col("tel_b"), F.lit(False))
+    # without coordinates the same name goes before one a letter off; it is faint evidence without an address or phone
+    unplaced = F.col("distance_m").isNull() & ~F.col("hint")
+    exact = unplaced & (F.col("core_a") == F.col("core_b"))
+    faint = unplaced & ~exact & ~same_addr & ~same_tel
+    close = F.when(faint, 0.65).when(F.col("distance_m").isNull(), 0.85).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (REACH_M - F.col("distance_m")) / 90.0)))
     other_addr, other_tel = F.coalesce(F.col("addr_a") != F.col("addr_b"), F.lit(False)), F.coalesce(F.col("tel_a") != F.col("tel_b"), F.lit(False))
     other_lead = (F.size("lead_a") > 0) & (F.size("lead_b") > 0) & ~F.arrays_overlap("lead_a", "lead_b")
     support = F.greatest(name * close, F.when(same_addr | same_tel, F.greatest(name, F.lit(0.3)) * F.greatest(close, F.lit(0.5))).otherwise(0.0))
     w = lambda c, x: F.when(c, x).otherwise(0.0)
     cand = cand.select(
         F.xxhash64("a", "b").alias("var"), "a", "b", "hint", "source_a", "source_b",
-        w(F.col("sure"), 4.0 + w(same_addr, 3.0) + w(same_tel, 2.0)).alias("up"), support.alias("up_to"),
+        w(F.col("sure"), F.when(faint, 1.5).otherwise(4.0) + w(same_addr, 3.0) + w(same_tel, 2.0) + w(exact, 2.0)).alias("up"), support.alias("up_to"),
         (0.8 + 5.0 * F.col("like.kind") + w(other_addr, 3.0) + w(other_tel, 2.5) + w(other_lead, 1.5)).alias("down"), F.lit(0.0).alias("down_from"),
     ).where("up_to > 0.1")
     cand = settle(cand, "candidates")

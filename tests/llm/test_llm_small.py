@@ -331,6 +331,17 @@ def test_linkage_hints_of_places_without_coordinates(spark):
     assert {("rv-1", "pl-000"), ("rv-1", "pl-100"), ("rv-2", "pl-001"), ("rv-2", "pl-101"), ("rv-3", "pl-102"), ("rv-6", "pl-002")} == hints
 
 
+def test_linkage_misspelt_places_without_coordinates(spark):
+    t = datetime(2026, 1, 1)
+    rows = _bakeries() + [
+        ("pl-010", "osm", "n10", "Nizizer Bakery", 22.05, 88.0, None, None, t), ("pl-011", "osm", "n11", "Klebulon Bakery", 22.06, 88.0, "7 Osk Street", None, t), ("pl-012", "osm", "n12", "Bodekim Bakery", 22.08, 88.0, None, None, t),
+        ("pl-100", "google", "g0", "Nijizer Bakery", None, None, None, None, t), ("pl-101", "google", "g1", "Kelevullun Bakery", None, None, "7 Osk St, North Yard", None, t),
+        ("pl-102", "google", "g2", "Bodekin Bakery", None, None, None, None, t), ("pl-103", "google", "g3", "Zumirak Bakery", None, None, "7 Osk Street", None, t),
+    ]
+    pairs, _ = _linked(spark, rows, [("rv-1", "Abelur Bakery", "ct", None, None)])
+    assert pairs == {("pl-010", "pl-100"), ("pl-011", "pl-101"), ("pl-001", "pl-102")}
+
+
 def test_admm_solves_a_known_problem(spark):
     # two variables wanting 1 that may add up to 1 at most: the stronger pull wins
     v = spark.createDataFrame([(1, 4.0, 1.0, 0.5, 0.0), (2, 2.0, 1.0, 0.5, 0.0), (3, 1.0, 0.8, 0.2, 0.0)], "var long, up double, up_to double, down double, down_from double")
