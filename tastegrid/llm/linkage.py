@@ -238,15 +238,11 @@ def link(places: DataFrame, reviews: DataFrame, cities: DataFrame, rounds: int =
     # candidates of records: near each other, or by keys where one lies nowhere
     placed = recs.where("lat is not null")
     near = near_pairs(placed, "rid", REACH_M).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "distance_m")
-    spots = recs.groupBy("core").agg(F.count("*").alias("n"), F.countDistinct(F.round(F.col("lat") * 20), F.round(F.col("lng") * 20)).alias("cells"))
+    spots = recs.groupBy("core").agg(F.countDistinct(F.round(F.col("lat") * 20), F.round(F.col("lng") * 20)).alias("cells"))
     spots = settle(spots, "cores")
-    keyed = recs.join(spots, "core")
     name_keys = F.transform(_deletions("sound"), lambda k: F.concat(F.lit("n|"), k))
-    keys = F.concat(
-        F.when(F.col("n") <= 12, name_keys).otherwise(F.array().cast("array<string>")),
-        F.array_compact(F.array(F.concat(F.lit("a|"), "addr"), F.concat(F.lit("t|"), "tel"))),
-    )
-    keyed = keyed.select("rid", "source", F.col("lat").isNull().alias("lost"), F.explode(keys).alias("key"))
+    keys = F.concat(name_keys, F.array_compact(F.array(F.concat(F.lit("a|"), "addr"), F.concat(F.lit("t|"), "tel"))))
+    keyed = recs.select("rid", "source", F.col("lat").isNull().alias("lost"), F.explode(keys).alias("key"))
     x, y = keyed.where("lost").alias("x"), keyed.alias("y")
     twins = x.join(y, F.expr("x.key = y.key and x.rid <> y.rid and x.source <> y.source"))
     by = lambda k: F.max(F.col("x.key").startswith(k + "|"))

@@ -342,6 +342,15 @@ def test_linkage_misspelt_places_without_coordinates(spark):
     assert pairs == {("pl-010", "pl-100"), ("pl-011", "pl-101"), ("pl-001", "pl-102")}
 
 
+def test_linkage_frequent_names_without_coordinates(spark):
+    t = datetime(2026, 1, 1)
+    rows = _bakeries() + [(f"pl-2{i:02d}", "osm", f"z{i}", "Zumirak Grill", 22.1 + i * 0.004, 88.1, None, None, t) for i in range(13)] + [
+        ("pl-010", "osm", "n10", "Zumirak Bakery", 22.05, 88.0, None, None, t), ("pl-100", "google", "g0", "Zumirak Bakery", None, None, None, None, t), ("pl-101", "google", "g1", "Zumirak Grill", None, None, None, None, t),
+    ]
+    pairs, _ = _linked(spark, rows, [("rv-1", "Abelur Bakery", "ct", None, None)])
+    assert pairs == {("pl-010", "pl-100")}  # which of the grills is meant stays open
+
+
 def test_admm_solves_a_known_problem(spark):
     # two variables wanting 1 that may add up to 1 at most: the stronger pull wins
     v = spark.createDataFrame([(1, 4.0, 1.0, 0.5, 0.0), (2, 2.0, 1.0, 0.5, 0.0), (3, 1.0, 0.8, 0.2, 0.0)], "var long, up double, up_to double, down double, down_from double")
