@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tastegrid.operators import scoring as S
-from tastegrid.session import shared_dir
+from tastegrid.session import run_dir
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str, **options) -> DataFrame:
@@ -31,7 +31,7 @@ def stream(spark: SparkSession, sf_dir: str, name: str, **options) -> DataFrame:
 def replay(df: DataFrame, mode: str = "append") -> DataFrame:
     """Everything there is, once, into a sink of files (append) or of batches whose last one holds (complete)."""
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/tastegrid/stream-{uuid.uuid4().hex}"
+    at = f"{run_dir(spark)}/stream-{uuid.uuid4().hex}"
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", at + "/checkpoint").trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").option("path", at + "/out").start().awaitTermination()
@@ -78,7 +78,7 @@ def spent_budgets(df: DataFrame, key: str, order: list[str], cost: str, limit: i
 def replay_updates(df: DataFrame, key: str) -> DataFrame:
     """Replays a stream of updates; the last update of each key holds."""
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/tastegrid/stream-{uuid.uuid4().hex}"
+    at = f"{run_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, n: int) -> None:
         batch.withColumn("_batch", F.lit(n)).write.mode("append").parquet(at + "/out")
