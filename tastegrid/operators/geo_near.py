@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 EARTH_M = 6_371_000.0
-MAX_STRIPS = 4096
+#: quantiles of latitude the driver holds; beyond them strips are cut further, evenly
+QUANTILES = 4096
 
 
 def usable(df: DataFrame, id_col: str, lat: str = "lat", lng: str = "lng") -> DataFrame:
@@ -51,41 +53,60 @@ def _half_width(lat: np.ndarray, metres: np.ndarray | float) -> np.ndarray:
     return np.where(edge >= math.pi / 2 - 1e-9, 360.0, w * (1 + 1e-9) + 1e-9)
 
 
-def strip_bounds(coords: DataFrame, rows_per_strip: int) -> list[float]:
-    """Inner strip borders: quantiles of latitude. The only thing the driver holds, at most MAX_STRIPS numbers."""
-    n = coords.count()
-    k = min(MAX_STRIPS, -(-n // rows_per_strip))
-    if k < 2:
-        return []
-    return sorted(set(coords.approxQuantile("lat", [i / k for i in range(1, k)], 0.2 / k)))
+@dataclass(frozen=True)
+class Strips:
+    """Borders of latitude (quantiles) and the number of even cuts between two of them; strips are numbered from the south."""
+
+    bounds: tuple[float, ...] = ()
+    cuts: int = 1
 
+    def __len__(self) -> int:
+        return (len(self.bounds) + 1) * self.cuts
 
-def _strip_of(col, bounds: list[float]):
-    """Strip number of a latitude: how many borders are at or below it; a nested CASE while borders are few."""
-    if not bounds:
-        return F.lit(0)
+    def of(self, lat: np.ndarray) -> np.ndarray:
+        edges = np.array([-90.0, *self.bounds, 90.0])
+        at = np.clip(np.searchsorted(edges, lat, side="right") - 1, 0, len(edges) - 2)
+        if self.cuts == 1:
+            return at.astype("int32")
+        share = (lat - edges[at]) / np.maximum(edges[at + 1] - edges[at], 1e-300)
+        return (at * self.cuts + np.clip(np.floor(share * self.cuts), 0, self.cuts - 1)).astype("int32")
 
-    def search(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(col < bounds[mid], search(lo, mid)).otherwise(search(mid + 1, hi))
+    def column(self, lat):
+        """Strip of a latitude: a nested CASE while borders are few."""
+        if len(self) == 1:
+            return F.lit(0)
+        if self.cuts == 1 and len(self.bounds) <= 64:
 
-    if len(bounds) <= 64:
-        return search(0, len(bounds))
+            def search(lo: int, hi: int):
+                if lo == hi:
+                    return F.lit(lo)
+                mid = (lo + hi) // 2
+                return F.when(lat < self.bounds[mid], search(lo, mid)).otherwise(search(mid + 1, hi))
 
-    @F.pandas_udf("int")
-    def find(s: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, s.to_numpy(), side="right").astype("int32"))
+            return search(0, len(self.bounds))
 
-    return find(col)
+        @F.pandas_udf("int")
+        def find(s: pd.Series) -> pd.Series:
+            return pd.Series(self.of(s.to_numpy()))
+
+        return find(lat)
+
+
+def strips_of(coords: DataFrame, rows_per_strip: int, quantiles: int = QUANTILES) -> Strips:
+    """Strips of about rows_per_strip positions each, however many there are."""
+    wanted = -(-coords.count() // rows_per_strip)
+    k = min(quantiles, wanted)
+    if k < 2:
+        return Strips()
+    bounds = tuple(sorted(set(coords.approxQuantile("lat", [i / k for i in range(1, k)], 0.2 / k))))
+    return Strips(bounds, max(1, -(-wanted // k)))
 
 
 def near_positions(coords: DataFrame, radius_m: float, rows_per_strip: int = 4000) -> DataFrame:
     """Pairs of distinct positions (lat, lng) at most radius_m apart: lat_a, lng_a, lat_b, lng_b, distance_m."""
-    bounds = strip_bounds(coords, rows_per_strip)
+    strips = strips_of(coords, rows_per_strip)
     reach = _reach_deg(radius_m)
-    lo, hi = _strip_of(F.greatest(F.col("lat") - F.lit(reach), F.lit(-90.0)), bounds), _strip_of(F.col("lat"), bounds)
+    lo, hi = strips.column(F.greatest(F.col("lat") - F.lit(reach), F.lit(-90.0))), strips.column(F.col("lat"))
     rows = coords.withColumn("own", hi).withColumn("strip", F.explode(F.sequence(lo, F.col("own"))))
     # the widest reach in longitude of the strip bounds what has to stay active
     width = F.when(
@@ -95,7 +116,7 @@ def near_positions(coords: DataFrame, radius_m: float, rows_per_strip: int = 400
     # positions near the eastern edge come again beyond the western one; such a copy is only looked back at
     rows = rows.withColumn("x", F.explode(F.when(F.col("lng") + F.col("w") >= 180, F.array(F.col("lng"), F.col("lng") - 360)).otherwise(F.array("lng"))))
     rows = rows.select("strip", "x", "lat", "lng", "w", (F.col("own") == F.col("strip")).alias("native"), (F.col("x") == F.col("lng")).alias("real"))
-    parts = max(1, min(len(bounds) + 1, 16 * coords.sparkSession.sparkContext.defaultParallelism))
+    parts = max(1, min(len(strips), 16 * coords.sparkSession.sparkContext.defaultParallelism))
     rows = rows.repartition(parts, "strip").sortWithinPartitions("strip", "x", "real")
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,42 +186,49 @@ def points_in_regions(
     """
     pts = usable(points, id_col, lat, lng)
     coords = pts.select("lat", "lng").distinct()
-    bounds = strip_bounds(coords, rows_per_strip)
+    strips = strips_of(coords, rows_per_strip)
     regs = regions.select(F.col(region_id).alias("rid"), F.col("lat").cast("double"), F.col("lng").cast("double"), F.col(radius_col).cast("double").alias("r"))
     regs = regs.where(F.col("rid").isNotNull() & F.col("lat").between(-90, 90) & F.col("lng").between(-180, 180) & (F.col("r") >= 0) & ~F.isnan("r"))
     tall = F.degrees(F.col("r") / EARTH_M) * (1 + 1e-9) + 1e-9
     pole = F.radians(F.abs("lat")) + F.col("r") / EARTH_M >= math.pi / 2 - 1e-9
     wide = F.when(pole, F.lit(360.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.col("r") / EARTH_M) / F.cos(F.radians("lat"))))) * (1 + 1e-9) + 1e-9)
-    regs = regs.withColumns({"w": wide, "strip": F.explode(F.sequence(_strip_of(F.greatest(F.col("lat") - tall, F.lit(-90.0)), bounds), _strip_of(F.least(F.col("lat") + tall, F.lit(90.0)), bounds)))})
+    regs = regs.withColumns({"w": wide, "strip": F.explode(F.sequence(strips.column(F.greatest(F.col("lat") - tall, F.lit(-90.0))), strips.column(F.least(F.col("lat") + tall, F.lit(90.0)))))})
     shift = F.when(F.col("w") >= 180, F.array(F.lit(0.0))).otherwise(
         F.array_compact(F.array(F.lit(0.0), F.when(F.col("lng") - F.col("w") < -180, F.lit(360.0)), F.when(F.col("lng") + F.col("w") > 180, F.lit(-360.0))))
     )
     regs = regs.withColumn("shift", F.explode(shift))
     events = regs.select("strip", (F.col("lng") + F.col("shift") - F.col("w")).alias("x"), F.lit(0).alias("kind"), "lat", "lng", (F.col("lng") + F.col("shift") + F.col("w")).alias("end"), "r", F.col("rid").cast("string"))
-    events = events.unionByName(coords.select(_strip_of(F.col("lat"), bounds).alias("strip"), F.col("lng").alias("x"), F.lit(1).alias("kind"), "lat", "lng", F.lit(None).cast("double").alias("end"), F.lit(None).cast("double").alias("r"), F.lit(None).cast("string").alias("rid")))
-    parts = max(1, min(len(bounds) + 1, 16 * pts.sparkSession.sparkContext.defaultParallelism))
+    events = events.unionByName(coords.select(strips.column(F.col("lat")).alias("strip"), F.col("lng").alias("x"), F.lit(1).alias("kind"), "lat", "lng", F.lit(None).cast("double").alias("end"), F.lit(None).cast("double").alias("r"), F.lit(None).cast("string").alias("rid")))
+    parts = max(1, min(len(strips), 16 * pts.sparkSession.sparkContext.defaultParallelism))
     events = events.repartition(parts, "strip").sortWithinPartitions("strip", "x", "kind")
 
+    fields = ["rid", "lat", "lng", "x", "end", "r"]
+
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, active = None, []
+        at, active = None, None
         for got in batches:
             for strip, part in got.groupby("strip", sort=False):
-                if strip != at:
-                    at, active = strip, []
-                new = part[part["kind"] == 0]
+                new = part.loc[part["kind"] == 0, fields]
+                active = new if strip != at else pd.concat([active, new], ignore_index=True)
+                at = strip
                 p = part[part["kind"] == 1]
-                active += list(zip(new["rid"], new["lat"], new["lng"], new["x"], new["end"], new["r"]))
                 if not len(p):
                     continue
+                # all active regions at once: the stretch of points each may hold, expanded in blocks
                 x, plat = p["x"].to_numpy(), p["lat"].to_numpy()
-                for rid, rlat, rlng, begin, end, r in active:
-                    i, j = np.searchsorted(x, begin, "left"), np.searchsorted(x, end, "right")
-                    if i < j:
-                        d = haversine_np(rlat, rlng, plat[i:j], x[i:j])
-                        ok = d <= r
-                        if ok.any():
-                            yield pd.DataFrame({"region_id": rid, "lat": plat[i:j][ok], "lng": x[i:j][ok], "distance_m": d[ok]})
-                active = [a for a in active if a[4] >= x[-1]]
+                rid, rlat, rlng, begin, end, r = (active[c].to_numpy() for c in fields)
+                start = np.searchsorted(x, begin.astype(float), "left")
+                count = np.maximum(np.searchsorted(x, end.astype(float), "right") - start, 0)
+                for some in _blocks(count, 2_000_000):
+                    n = count[some]
+                    i = np.repeat(np.arange(len(count))[some], n)
+                    j = np.repeat(start[some], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+                    d = haversine_np(rlat[i], rlng[i], plat[j], x[j])
+                    ok = d <= r[i]
+                    if ok.any():
+                        i, j = i[ok], j[ok]
+                        yield pd.DataFrame({"region_id": rid[i], "lat": plat[j], "lng": x[j], "distance_m": d[ok]})
+                active = active[end >= x[-1]]
 
     found = events.mapInPandas(sweep, "region_id string, lat double, lng double, distance_m double")
     return found.join(pts, ["lat", "lng"]).select("region_id", "id", "distance_m").distinct()
