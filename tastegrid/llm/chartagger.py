@@ -6,6 +6,8 @@ import unicodedata
 
 import numpy as np
 
+from tastegrid.llm.lstmgraph import session, tagger_graph
+
 #: ids 0..127 are ASCII; the rest are classes of characters
 PAD, LATIN, DEVANAGARI, BENGALI, LETTER, MARK, SYMBOL, PUNCT, SPACE, OTHER = 0, 128, 129, 130, 131, 132, 133, 134, 135, 136
 VOCAB = 137
@@ -61,6 +63,7 @@ class CharTagger:
         f = np.float32
         self.h, self.k = h, labels
         self.ordinary: set[str] = set()
+        self.graph = None
         self.p = {
             "char": (r.normal(size=(VOCAB, EMBED))).astype(f),
             "w": (r.normal(size=(2, EMBED, 4 * h)) / np.sqrt(EMBED)).astype(f),
@@ -109,6 +112,8 @@ class CharTagger:
         return out, (x, mask, hs, cs, gates, tanhs)
 
     def emissions(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        if self.graph is not None:
+            return self.graph.run(None, {"ids": np.ascontiguousarray(ids.T, dtype=np.int32), "lens": lengths.astype(np.int32)})[0].transpose(1, 0, 2)
         out, _ = self._forward(ids, lengths, False)
         return out @ self.p["out"] + self.p["bias"]
 
@@ -168,32 +173,29 @@ class CharTagger:
         beta = np.ones((b, k), np.float32)
         de = np.zeros_like(e)
         dtrans = np.zeros_like(trans)
-        rows = np.arange(b)
         for s in range(t - 1, -1, -1):
             post = alpha[s] * beta
             post /= post.sum(1, keepdims=True)
             de[:, s] = post * live[s][:, None]
             if s:
                 w = beta * ee[:, s] / scale[s][:, None]
-                pair = alpha[s - 1][:, :, None] * et[None] * w[:, None, :]
-                pair /= pair.sum((1, 2), keepdims=True)
-                dtrans += (pair * live[s][:, None, None]).sum(0)
+                share = live[s] / ((alpha[s - 1] @ et) * w).sum(1)
+                dtrans += et * ((alpha[s - 1] * share[:, None]).T @ w)
                 beta = np.where(live[s][:, None], w @ et.T, beta)
         dstart = de[:, 0].sum(0)
         log_z = np.log(scale).sum(0) + (top * live.T).sum(1)
-        gold = start[y[:, 0]] + e[rows, 0, y[:, 0]]
+        valid = live.T
+        gold = start[y[:, 0]] + (np.take_along_axis(e, y[:, :, None].astype(np.int64), 2)[:, :, 0] * valid).sum(1) + (trans[y[:, :-1], y[:, 1:]] * valid[:, 1:]).sum(1)
         np.add.at(dstart, y[:, 0], -1)
-        de[rows, 0, y[:, 0]] -= 1
-        for s in range(1, t):
-            on = live[s]
-            r, p, q = rows[on], y[on, s - 1], y[on, s]
-            gold[on] += trans[p, q] + e[r, s, q]
-            np.add.at(dtrans, (p, q), -1)
-            de[r, s, q] -= 1
+        r, c = np.nonzero(valid)
+        de[r, c, y[r, c]] -= 1
+        pairs = y[:, :-1].astype(np.int64) * k + y[:, 1:]
+        dtrans -= np.bincount(pairs[valid[:, 1:]], minlength=k * k).reshape(k, k)
         return log_z - gold, de, dtrans, dstart
 
     def fit(self, ids: np.ndarray, lengths: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 0.012, seed: int = 7) -> list[float]:
         """Adam over shuffled batches of windows of similar length; returns the loss a character of each epoch."""
+        self.graph = None
         r = np.random.default_rng(seed)
         m = {n: np.zeros_like(v) for n, v in self.p.items()}
         v = {n: np.zeros_like(x) for n, x in self.p.items()}
@@ -228,6 +230,10 @@ class CharTagger:
             losses.append(loss / float(lengths.sum()))
         return losses
 
+    def compile(self) -> None:
+        """From now on emissions come from onnxruntime, where it is installed. Training ends it."""
+        self.graph = session(tagger_graph(self.p, self.h, self.k))
+
     # --- whole texts -----------------------------------------------------------------------------------------
     def tag(self, texts: list[str], window: int = 128, overlap: int = 32, batch: int = 512) -> list[np.ndarray]:
         """The best label sequence of each text. Emissions of overlapping windows are blended with weights that fall
@@ -272,8 +278,14 @@ class CharTagger:
         n = len(at) - 1
         sizes = np.diff(at)
         out: list[np.ndarray] = [np.zeros(0, np.int8)] * n
+        # a text whose label 0 leads everywhere by more than what transitions can ever make up has no other label
+        gain = 2 * max(0.0, float((trans - trans[0, 0]).max()), float((start - start[0]).max()))
+        open_at = np.concatenate([[0], np.cumsum(scores[:, 1:].max(1) + gain >= scores[:, 0])])
+        plain = open_at[at[1:]] == open_at[at[:-1]]
+        for i in np.flatnonzero(plain):
+            out[i] = np.zeros(sizes[i], np.int8)
         order = np.argsort(sizes, kind="stable")
-        order = order[sizes[order] > 0]
+        order = order[(sizes[order] > 0) & ~plain[order]]
         for i in range(0, len(order), batch):
             w = order[i : i + batch]
             t = int(sizes[w].max())

@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tastegrid.llm.chartagger import CharTagger, encode
-from tastegrid.session import parallelism
+from tastegrid.llm.models import stored
+from tastegrid.session import spread
 
 KINDS = ["email", "phone", "id_number", "address", "name"]
 DIGIT_WORDS = "zero|oh|one|two|three|four|five|six|seven|eight|nine"
@@ -200,19 +201,21 @@ def training_windows(fields: list[tuple[int, str]], pattern: re.Pattern | None,
     return texts, labels
 
 
-def ordinary_words(texts: list[str], names: set[str], least: int = 5) -> set[str]:
-    """Words of at least `least` texts that are mostly written small and are no known names."""
-    texts_with: Counter = Counter()
-    small: Counter = Counter()
-    for t in texts:
-        ws = set(re.findall(r"[^\W\d_]{3,}", t))
-        texts_with.update({w.lower() for w in ws})
-        small.update({w for w in ws if w.islower()})
-    return {w for w, c in texts_with.items() if c >= least and 2 * small[w] >= c and w not in names}
+def ordinary_words(df: DataFrame, text: str, least: int = 5, share: float = 1 / 6000) -> set[str]:
+    """Words of at least `least` texts and `share` of all texts that are mostly written small, from all rows.
 
+    A text of w words has at most w such words, so there are at most (mean words a text) / share of them on the driver."""
+    total = df.where(F.col(text).isNotNull()).agg(F.count("*").alias("texts"))
+    ws = df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"\p{L}{3,}"), F.lit(0)))).alias("w"))
+    per = ws.groupBy("w").agg(F.count("*").alias("c")).groupBy(F.lower("w").alias("low")).agg(F.sum("c").alias("c"), F.sum(F.when(F.col("w") == F.lower("w"), F.col("c")).otherwise(0)).alias("small"))
+    per = per.crossJoin(F.broadcast(total))  # one row of one number
+    return {r["low"] for r in per.where((F.col("c") >= least) & (F.col("c") >= F.col("texts") * share) & (2 * F.col("small") >= F.col("c"))).select("low").collect()}
 
-def fit_tagger(texts: list[str], authors: list[str], names: set[str], hidden: int = 32, epochs: int = 7, max_windows: int = 22_000, mine_texts: int = 12_000, seed: int = 7) -> tuple[CharTagger, list[float]]:
-    """Trains on at most max_windows windows, spread over fields, kinds and classes of texts without spans."""
+
+def fit_tagger(texts: list[str], authors: list[str], names: set[str], ordinary: set[str] = frozenset(), hidden: int = 32, epochs: int = 7, max_windows: int = 14_000, mine_texts: int = 6_000, least_steps: int = 200, seed: int = 7) -> tuple[CharTagger, list[float]]:
+    """Trains on at most max_windows windows of the sample, spread over fields, kinds and classes of texts without spans; what it
+    wrongly finds in mine_texts of them is trained on again. Both bound training material only. Small samples are gone through
+    more often, for at least least_steps batches."""
     names = grow_names(names, authors)
     pattern = _names_pattern(names)
     fields = [(0, t) for t in texts if t] + [(1, a) for a in authors if a]
@@ -224,14 +227,15 @@ def fit_tagger(texts: list[str], authors: list[str], names: set[str], hidden: in
     pick = pick[:max_windows]
     has = [i for i in pick if ys[i].any()]
     model = CharTagger(2 * len(KINDS) + 1, hidden, seed)
-    model.ordinary = ordinary_words(texts, names)
+    model.ordinary = set(ordinary) - names
     if not has:
         model.p["bias"][0] = 50.0
         return model, []
-    losses = _fit(model, [ws[i] for i in pick], [ys[i] for i in pick], epochs - 2, 0.012, seed)
+    losses = _fit(model, [ws[i] for i in pick], [ys[i] for i in pick], max(epochs - 2, -(-least_steps // -(-len(pick) // 128))), 0.012, seed)
     # what the tagger wrongly finds in texts without labelled spans becomes further training material
     again, hard = [i for i in pick if r.random() < 0.8], []
     plain = [(f, t) for f, t in fields if not label_spans(t, pattern)][:mine_texts]
+    model.compile()
     for (f, t), spans in zip(plain, spans_of(model, [t for _, t in plain])):
         for a, b, _ in spans[:2]:
             a = max(0, min(a - r.randrange(8, 50), len(t) - 72))
@@ -281,15 +285,23 @@ def spans_of(model: CharTagger, texts: list[str]) -> list[list[tuple[int, int, s
     return out
 
 
-def fit_on(spark: SparkSession, df: DataFrame, id_col: str, text: str, author: str, names: DataFrame, sample_rows: int = 40_000, **kw) -> CharTagger:
-    """Trains on the sample_rows rows with the smallest hash of their id."""
+def fit_on(spark: SparkSession, df: DataFrame, id_col: str, text: str, author: str, names: DataFrame, sample_rows: int = 40_000, most_names: int = 100_000, table: str = "", **kw) -> CharTagger:
+    """Trains on the sample_rows rows with the smallest hash of their id and the most_names names with the smallest hash of
+    theirs; both only bound what labels the training material. Ordinary words are counted in all rows."""
     sample = df.select(id_col, text, author).orderBy(F.xxhash64(id_col), id_col).limit(sample_rows).toPandas()
-    known = {str(n) for n in names.where("name_token is not null").select("name_token").limit(100_000).toPandas()["name_token"]}
-    return fit_tagger(sample[text].dropna().tolist(), sample[author].dropna().tolist(), known, **kw)[0]
+    listed = names.where("name_token is not null").select("name_token").distinct().orderBy(F.xxhash64("name_token"), "name_token").limit(most_names)
+    known = {str(n) for n in listed.toPandas()["name_token"]}
+    texts, authors = sample[text].dropna().tolist(), sample[author].dropna().tolist()
+
+    def fit() -> CharTagger:
+        ordinary = ordinary_words(df, text)
+        return fit_tagger(texts, authors, known, ordinary=ordinary, **kw)[0]
+
+    return stored(spark, table, "pii", (sample_rows, most_names, sorted(kw.items())), [*texts, None, *authors, None, *sorted(known)], fit)
 
 
 def tag_fields(df: DataFrame, id_col: str, fields: list[str], model: CharTagger, chunk: int = 2000) -> DataFrame:
-    """(id, and for each field f: f, f_spans array<struct<start,stop,kind>>); offsets in code points."""
+    """(id, and for each field f: f, f_spans array<struct<start,stop,kind>>); offsets in code points. Equal texts of a batch are tagged once."""
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast((model.h, model.k, model.p, model.ordinary))
     struct = "array<struct<start:int,stop:int,kind:string>>"
@@ -299,17 +311,20 @@ def tag_fields(df: DataFrame, id_col: str, fields: list[str], model: CharTagger,
         h, k, p, ordinary = shared.value
         m = CharTagger(k, h)
         m.p, m.ordinary = p, ordinary
+        m.compile()
         for got in batches:
             for a in range(0, len(got), chunk):
                 part = got.iloc[a : a + chunk]
                 cols = {id_col: part[id_col]}
                 for f in fields:
                     texts = [t if isinstance(t, str) else "" for t in part[f]]
+                    once = list(dict.fromkeys(texts))
+                    spans = dict(zip(once, ([{"start": s, "stop": e, "kind": k2} for s, e, k2 in x] for x in spans_of(m, once))))
                     cols[f] = part[f]
-                    cols[f + "_spans"] = [[{"start": s, "stop": e, "kind": k2} for s, e, k2 in x] for x in spans_of(m, texts)]
+                    cols[f + "_spans"] = [spans[t] for t in texts]
                 yield pd.DataFrame(cols)
 
-    return df.select(id_col, *fields).repartition(parallelism(spark)).mapInPandas(run, schema)
+    return spread(df.select(id_col, *fields)).mapInPandas(run, schema)
 
 
 def redacted(field: str) -> F.Column:
