@@ -7,26 +7,33 @@ maximisation over its sentences estimates the shares of the languages, and a lan
 only while the mixture's log-likelihood grows by more than a penalty. Texts are read whole.
 
 Defined results: null, empty and wordless texts (no letters besides links and addresses) have no language; ties go to
-the language that comes first in LANGUAGES; equal texts get equal results; an empty table gives no rows; without any
-labelled row all languages are equally likely and the confidence is 1/8.
+the language that comes first among the names; equal texts get equal results; an empty table gives no rows; without any
+labelled row all languages are equally likely and the confidence is 1 / their number.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tastegrid.session import parallelism
+from tastegrid.llm.models import stored
+from tastegrid.session import spread
 
+#: the languages told apart unless others are given
 LANGUAGES = ["en", "hi", "hi-Latn", "bn", "bn-Latn", "es", "fr", "de"]
 BUCKETS = 1 << 17
 NOISE = re.compile(r"https?://\S+|www\.\S+|\S+@\S+|[@#]\w+|&(?:[a-z]+|#\d+);")
+MARKS = re.compile(r"[@#&]|://|www")  # NOISE needs one of these
 END = re.compile(r"(?:(?<!\bRs)(?<!\brs)(?<!\bMr)(?<!\bDr)(?<!\bMs)(?<!\bNo)(?<!\bno)(?<!\bSt)(?<!\b[A-Z])[.!?।]+|\n+)(?:\s+|$)")
+HAS_LETTER = re.compile(r"[^\W\d_]")
+NOT_ASCII_LETTER = re.compile(r"[^a-z]+")
+NOT_LETTER = re.compile("[^\\w\u0900-\u09ff]+|[0-9_।॥]+")
 WORD = re.compile(r"[^\W\d_][^\W\d_ऀ-৿]*(?:['’ऀ-৿][^\W\d_ऀ-৿]*)*")
 
 
@@ -37,18 +44,26 @@ def label_of(col: Column) -> Column:
     return F.when(F.array_contains(parts, "latn"), F.concat(base, F.lit("-Latn"))).otherwise(base)
 
 
+def _few(piece: str, least: int) -> bool:
+    """Whether the piece has fewer than `least` words."""
+    found = WORD.finditer(NOISE.sub(" ", piece) if MARKS.search(piece) else piece)
+    return sum(1 for _ in islice(found, least)) < least
+
+
 def sentences(text: str, least_words: int = 3) -> list[tuple[int, int]]:
     """(start, stop) of stretches of at least `least_words` words where there are that many; no character is lost."""
     cuts = [0, *[m.end() for m in END.finditer(text)]]
+    if len(cuts) == 1 or len(cuts) == 2 and cuts[1] == len(text):
+        return [(0, len(text))] if text else []
     if cuts[-1] < len(text):
         cuts.append(len(text))
     out: list[list[int]] = []
     short = True
     for a, b in zip(cuts, cuts[1:]):
-        few = len(WORD.findall(NOISE.sub(" ", text[a:b]))) < least_words
+        few = _few(text[a:b], least_words)
         if out and (few or short):
             out[-1][1] = b
-            short = short and len(WORD.findall(NOISE.sub(" ", text[out[-1][0] : b]))) < least_words
+            short = short and _few(text[out[-1][0] : b], least_words)
         else:
             out.append([a, b])
             short = few
@@ -59,8 +74,8 @@ def _grams(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams (1 to 4 characters, with word borders) of all pieces, end to end, and the pieces' offsets."""
     norm = []
     for p in pieces:
-        s = NOISE.sub(" ", p).lower()
-        s = re.sub(r"[^a-z]+", " ", s) if s.isascii() else "".join(c if c.isalpha() or "\u0900" <= c <= "\u09ff" and c not in "।॥" else " " for c in s)
+        s = (NOISE.sub(" ", p) if MARKS.search(p) else p).lower()
+        s = NOT_ASCII_LETTER.sub(" ", s) if s.isascii() else NOT_LETTER.sub(" ", s)
         norm.append(" " + " ".join(s.split()) + "  ")
     size = np.array([len(s) for s in norm])
     at = np.concatenate([[0], np.cumsum(size)])
@@ -79,30 +94,31 @@ def _grams(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Languages:
     """Log-probabilities of hashed n-grams by language."""
 
-    def __init__(self, table: np.ndarray) -> None:
-        self.table = table  # (BUCKETS, languages)
+    def __init__(self, table: np.ndarray, names: list[str] = LANGUAGES) -> None:
+        self.table, self.names = table, list(names)  # (BUCKETS, languages)
 
     @classmethod
-    def train(cls, texts: list[str], labels: list[str | None], rounds: int = 3) -> Languages:
-        k = len(LANGUAGES)
+    def train(cls, texts: list[str], labels: list[str | None], rounds: int = 3, names: list[str] = LANGUAGES) -> Languages:
+        k = len(names)
         pieces, owner = [], []
         for i, t in enumerate(texts):
             for a, b in sentences(t):
                 pieces.append(t[a:b])
                 owner.append(i)
-        place = {name: j for j, name in enumerate(LANGUAGES)}
+        place = {name: j for j, name in enumerate(names)}
         given = np.array([place.get(labels[i], -1) if labels[i] else -1 for i in owner], dtype=np.int64)
         if not pieces or not (given >= 0).any():
-            return cls(np.zeros((BUCKETS, k), np.float32))
+            return cls(np.zeros((BUCKETS, k), np.float32), names)
         grams, at = _grams(pieces)
         of = np.repeat(np.arange(len(pieces)), np.diff(at))
         now = given.copy()
         for _ in range(rounds + 1):
             counts = np.full((BUCKETS, k), 0.05)
             on = now[of] >= 0
+            place_of = now[of][on]
             for row in grams:
-                np.add.at(counts, (row[on], now[of][on]), 1.0)
-            model = cls(np.log(counts / counts.sum(0)).astype(np.float32))
+                counts += np.bincount(row[on].astype(np.int64) * k + place_of, minlength=BUCKETS * k).reshape(BUCKETS, k)
+            model = cls(np.log(counts / counts.sum(0)).astype(np.float32), names)
             score = model._sum(grams, at)
             now = score.argmax(1)
         return model
@@ -114,7 +130,7 @@ class Languages:
     def score(self, pieces: list[str]) -> np.ndarray:
         """Log-likelihood of each piece by language, scaled down as overlapping n-grams are not independent."""
         if not pieces:
-            return np.zeros((0, len(LANGUAGES)), np.float32)
+            return np.zeros((0, len(self.names)), np.float32)
         return self._sum(*_grams(pieces)) / 4.0
 
 
@@ -146,57 +162,81 @@ def mixture(score: np.ndarray, penalty: float = 10.0, steps: int = 15) -> tuple[
     return langs, pi, post
 
 
-def fit_on(df: DataFrame, id_col: str, text: str, label: str, sample_rows: int = 30_000, rounds: int = 3) -> Languages:
-    """Learns from the sample_rows labelled rows with the smallest hash of their id; the label as label_of gives it."""
-    rows = df.where(F.col(label).isin(*LANGUAGES) & F.col(text).isNotNull())
+def single(score: np.ndarray, at: np.ndarray, penalty: float) -> np.ndarray:
+    """Of each document (its first row in score, at) whether one language is enough: no mixture's log-likelihood exceeds the sum
+    of its sentences' best ones, so where that gains no more than the penalty the search of `mixture` ends with one."""
+    best = np.add.reduceat(score, at, axis=0).max(1)
+    return np.add.reduceat(score.max(1), at) - best <= penalty
+
+
+def fit_on(df: DataFrame, id_col: str, text: str, label: str, sample_rows: int = 30_000, rounds: int = 3, names: list[str] = LANGUAGES, table: str = "") -> Languages:
+    """Learns from the sample_rows labelled rows with the smallest hash of their id; the label as label_of gives it.
+
+    names: the languages to tell apart; a label of another language counts as none, as labels may be wrong."""
+    rows = df.where(F.col(label).isin(*names) & F.col(text).isNotNull())
     rows = rows.select(id_col, text, label).orderBy(F.xxhash64(id_col), id_col).limit(sample_rows).toPandas()
-    return Languages.train(rows[text].tolist(), rows[label].tolist(), rounds)
+    texts, labels = rows[text].tolist(), rows[label].tolist()
+    return stored(df.sparkSession, table, "langid", (sample_rows, rounds, tuple(names)), [*texts, None, *labels], lambda: Languages.train(texts, labels, rounds, names))
 
 
-def detect(df: DataFrame, id_col: str, text: str, model: Languages, keep: list[str] | None = None, penalty: float = 10.0, chunk: int = 1000) -> DataFrame:
+def detect(df: DataFrame, id_col: str, text: str, model: Languages, keep: list[str] | None = None, penalty: float = 10.0, chunk: int = 4000) -> DataFrame:
     """(id, kept columns, language, languages, share, confidence, segments): a row for each language of each text with words.
 
     languages is how many the text has.
     segments holds the stretches of that language: array<struct<start,stop,confidence>>, offsets in code points.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model.table)
+    shared = df.sparkSession.sparkContext.broadcast((model.table, model.names))
     keep = keep or []
     kinds = "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in keep)
     schema = f"{id_col} {df.schema[id_col].dataType.simpleString()}{kinds}, language string, languages int, share double, confidence double, segments array<struct<start:int,stop:int,confidence:double>>"
 
+    def runs_of(places, sure) -> list[dict]:
+        runs: list[dict] = []
+        for (a, b), c in zip(places, sure):
+            if runs and runs[-1]["stop"] == a:
+                runs[-1] = {"start": runs[-1]["start"], "stop": b, "confidence": min(runs[-1]["confidence"], float(c))}
+            else:
+                runs.append({"start": a, "stop": b, "confidence": float(c)})
+        return runs
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = Languages(shared.value)
+        m = Languages(*shared.value)
         for got in batches:
             for first in range(0, len(got), chunk):
-                out = []
                 part = got.iloc[first : first + chunk]
-                spans, pieces = [], []
-                for t in part[text]:
-                    ok = isinstance(t, str) and any(c.isalpha() for c in NOISE.sub(" ", t))
-                    spans.append(sentences(t) if ok else [])
-                    pieces += [t[a:b] for a, b in spans[-1]]
-                score = m.score(pieces)
-                at = 0
-                kept = list(part[[id_col, *keep]].itertuples(index=False, name=None))
-                for i, s in zip(kept, spans):
-                    if not s:
-                        continue
-                    langs, pi, post = mixture(score[at : at + len(s)], penalty)
-                    at += len(s)
-                    pick = post.argmax(1)
-                    present = sum(bool((pick == j).any()) for j in range(len(langs)))
-                    for j, lang in enumerate(langs):
-                        mine = np.flatnonzero(pick == j)
-                        if len(mine):
-                            full = score[at - len(s) : at][mine]
-                            sure = 1.0 / np.exp(full - full[:, [lang]]).sum(1)
-                            runs = []
-                            for r, c in zip(mine, sure):
-                                if runs and runs[-1]["stop"] == s[r][0]:
-                                    runs[-1] = {"start": runs[-1]["start"], "stop": s[r][1], "confidence": min(runs[-1]["confidence"], float(c))}
-                                else:
-                                    runs.append({"start": s[r][0], "stop": s[r][1], "confidence": float(c)})
-                            out.append((*i, LANGUAGES[lang], present, float(pi[j]), float(sure.mean()), runs))
+                spans, pieces, rows = [], [], []
+                for i, t in enumerate(part[text]):
+                    if isinstance(t, str) and HAS_LETTER.search(NOISE.sub(" ", t) if MARKS.search(t) else t):
+                        rows.append(i)
+                        spans.append(sentences(t))
+                        pieces += [t[a:b] for a, b in spans[-1]]
+                out = []
+                if rows:
+                    once = {p: i for i, p in enumerate(dict.fromkeys(pieces))}
+                    score = m.score(list(once))[[once[p] for p in pieces]]
+                    size = np.array([len(s) for s in spans])
+                    at = np.cumsum(size) - size
+                    alone, top = single(score, at, penalty), np.add.reduceat(score, at, axis=0).argmax(1)
+                    # confidence of each sentence in its text's likeliest language
+                    of = np.repeat(top, size)[:, None]
+                    sure = 1.0 / np.exp(np.minimum(score - np.take_along_axis(score, of, 1), 80)).sum(1)
+                    kept = list(part[[id_col, *keep]].itertuples(index=False, name=None))
+                    for d, i in enumerate(rows):
+                        a, s = at[d], spans[d]
+                        if alone[d]:
+                            c = sure[a : a + len(s)]
+                            out.append((*kept[i], m.names[top[d]], 1, 1.0, float(c.mean()), runs_of(s, c)))
+                            continue
+                        mine_score = score[a : a + len(s)]
+                        langs, pi, post = mixture(mine_score, penalty)
+                        pick = post.argmax(1)
+                        present = len(np.unique(pick))
+                        for j, lang in enumerate(langs):
+                            mine = np.flatnonzero(pick == j)
+                            if len(mine):
+                                full = mine_score[mine]
+                                c = 1.0 / np.exp(np.minimum(full - full[:, [lang]], 80)).sum(1)
+                                out.append((*kept[i], m.names[lang], present, float(pi[j]), float(c.mean()), runs_of([s[r] for r in mine], c)))
                 yield pd.DataFrame(out, columns=[id_col, *keep, "language", "languages", "share", "confidence", "segments"])
 
-    return df.select(id_col, *keep, text).repartition(parallelism(df.sparkSession)).mapInPandas(run, schema)
+    return spread(df.select(id_col, *keep, text)).mapInPandas(run, schema)
