@@ -1,14 +1,16 @@
 """Mixing sources to target weights by hierarchical budgeting.
 
-The sources form a tree (domain, source, language). The total is handed down by the nodes' weights; a node that cannot use
-its share (all its texts, repeated as often as they may be) leaves the rest to its siblings, and only what they cannot use
-either goes up to the siblings of their parent. Each leaf fills its budget with whole epochs of its texts and a prefix,
-by tokens, of one more epoch in an order seeded by a hash.
+The texts form a tree (domain, language, source). A source's target share is laid over its languages as its tokens are, so
+that a leaf (domain, language, source) has a weight, a language the sum of its leaves' and a domain that of its languages'.
+The total is handed down by weight; a node that cannot use its share (all its texts, repeated as often as they may be) leaves
+the rest to its siblings, and only what they cannot use either goes up to the siblings of their parent. Each leaf fills its
+budget with whole epochs of its texts and a prefix, by tokens, of one more epoch in an order seeded by a hash.
 
 Defined results: texts of no listed source, or with 0 tokens, are not used; a null language is a language of its own; if
 all sources together cannot fill the total, everything is used as often as allowed; equal hashes are ordered by id; an
 empty table gives no rows. The order of an epoch is found in two steps (sums of hash ranges, then the one range in which
-the prefix ends), so no leaf is ever sorted as a whole.
+the prefix ends), so no leaf is ever sorted as a whole. The tree is budgeted on the driver; one of more than MOST_LEAVES
+leaves, which no column of sources and languages should have, is an error.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 
 #: hash ranges of an epoch, as a power of two
 RANGE_BITS = 12
-#: most leaves (domain, source, language) the driver budgets
-MAX_LEAVES = 100_000
+#: more leaves than this are an error
+MOST_LEAVES = 100_000
 
 
 @dataclass
@@ -60,38 +62,44 @@ def share_out(node: Node, total: float) -> float:
 
 def budgets(leaves: list[tuple[str, str, float]], targets: dict[str, tuple[float, int]], domains: dict[str, str], total: float | None = None) -> dict[tuple[str, str], float]:
     """Tokens of every (source, language). leaves: (source, language, tokens there are); targets: share and most repeats."""
+    there: dict[str, float] = {}
+    for source, _, tokens in leaves:
+        there[source] = there.get(source, 0.0) + max(tokens, 0.0)
     root = Node(1.0)
     for source, lang, tokens in leaves:
         if source not in targets or tokens <= 0:
             continue
-        weight, repeats = targets[source]
-        top = root.kids.setdefault(domains.get(source, source), Node())
-        if source not in top.kids:
-            top.kids[source] = Node(weight)
-            top.weight += weight
-        # within a source, languages keep their natural proportions
-        top.kids[source].kids[lang] = Node(tokens, tokens * repeats)
-    for top in root.kids.values():
-        for s in top.kids.values():
-            s.capacity = sum(c.capacity for c in s.kids.values())
-        top.capacity = sum(s.capacity for s in top.kids.values())
-    root.capacity = sum(t.capacity for t in root.kids.values())
+        share, repeats = targets[source]
+        leaf = Node(share * tokens / there[source], tokens * repeats)
+        domain = root.kids.setdefault(domains.get(source, source), Node())
+        speech = domain.kids.setdefault(lang, Node())
+        speech.kids[source] = leaf
+        for node in (root, domain, speech):
+            node.weight += leaf.weight
+            node.capacity += leaf.capacity
     share_out(root, min(root.capacity, sum(x[2] for x in leaves) if total is None else total))
-    return {(s, lang): n.budget for t in root.kids.values() for s, sn in t.kids.items() for lang, n in sn.kids.items()}
+    return {(source, lang): leaf.budget for domain in root.kids.values() for lang, speech in domain.kids.items() for source, leaf in speech.kids.items()}
+
+
+def _small(df: DataFrame, what: str) -> list:
+    rows = df.limit(MOST_LEAVES + 1).collect()
+    if len(rows) > MOST_LEAVES:
+        raise ValueError(f"more than {MOST_LEAVES} {what}")
+    return rows
 
 
 def mix(items: DataFrame, id_col: str, source: str, language: str, size: str, targets: DataFrame, domains: dict[str, str], total: float | None = None, seed: int = 1) -> DataFrame:
     """(id, source, language, tokens, repeats) of all texts used. targets: source, target_share, max_repeats."""
     spark = items.sparkSession
     rows = items.where((F.col(size) > 0) & F.col(source).isNotNull()).select(F.col(id_col).alias("id"), F.col(source).alias("source"), F.coalesce(F.col(language), F.lit("?")).alias("language"), F.col(size).cast("long").alias("tokens"))
-    want = {r["source"]: (float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in targets.where("source is not null").limit(MAX_LEAVES).collect()}
-    there = [(r["source"], r["language"], float(r["t"])) for r in rows.groupBy("source", "language").agg(F.sum("tokens").alias("t")).limit(MAX_LEAVES).collect()]
+    want = {r["source"]: (float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in _small(targets.where("source is not null"), "targets")}
+    there = [(r["source"], r["language"], float(r["t"])) for r in _small(rows.groupBy("source", "language").agg(F.sum("tokens").alias("t")), "leaves")]
     plan, epochs = [], {(s, lang): t for s, lang, t in there}
     for (s, lang), b in budgets(there, want, domains, total).items():
         whole = int((b + 1e-6) // epochs[s, lang])
         plan.append((s, lang, whole, int(round(b - whole * epochs[s, lang])), want[s][1]))
     plan = spark.createDataFrame(plan, "source string, language string, whole int, prefix long, most int")
-    rows = rows.join(F.broadcast(plan), ["source", "language"])  # at most MAX_LEAVES rows
+    rows = rows.join(F.broadcast(plan), ["source", "language"])  # at most MOST_LEAVES rows
     rows = rows.withColumn("order", F.xxhash64(F.lit(seed), "whole", "id")).withColumn("range", F.shiftrightunsigned("order", 64 - RANGE_BITS).cast("int"))
     leaf = ["source", "language"]
     sums = rows.groupBy(*leaf, "range", "prefix").agg(F.sum("tokens").alias("t"))
