@@ -1,10 +1,12 @@
 """Top N rows of every group under a total order, for very uneven groups.
 
-Exact group counts split the groups: at most `max_hot` heaviest ones with `hot_rows` rows or more are hot. Light
-groups go through an ordinary window. Hot ones are salted by range of the first sort key: the counts per range,
-added up from the best range downwards, tell which ranges can hold a winner at all; these are cut further by a hash
-of the tie key, ranked per salt, and ranked again over the few survivors. Nothing is lost: every row of a range that
-may hold a winner is ranked.
+Exact group counts split the groups into hot and light ones. A group is hot if it has more than `times` the rows of a mean
+group, or more than `most_rows`, what a task sorts with ease; so by Markov's inequality at most one group in `times` is hot,
+at every size of the input. Light groups go through an ordinary window. Hot ones are salted by range of the first sort key:
+the counts per range, added up from the best range downwards, tell which ranges can hold a winner at all; these are cut
+further by a hash of the tie key into salts of at most the hot size, ranked per salt, and ranked again over the few survivors.
+Nothing is lost: every row of a range that may hold a winner is ranked. Neither list is broadcast by hint; both are joined as
+Spark finds fit by their size.
 
 Defined results: groups with null keys are groups; rows with a null or NaN first sort key come last; full ties in all
 sort keys are resolved by nothing further, so the sort keys should end in a unique column; empty input gives no rows;
@@ -27,24 +29,23 @@ def latest(df: DataFrame, keys: list[str], order: list[Column], columns: list[st
     return ranked.select(*dict.fromkeys([*keys, *columns]))
 
 
-def top_n(df: DataFrame, keys: list[str], score: str, ties: list[Column], n: int, tie_key: str, hot_rows: int = 100_000, max_hot: int = 2000) -> DataFrame:
+def top_n(df: DataFrame, keys: list[str], score: str, ties: list[Column], n: int, tie_key: str, times: float = 20.0, most_rows: int = 100_000) -> DataFrame:
     """The n best rows of each group by score descending, then `ties`; with the rank as column `rank`."""
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(_desc(score), *ties))
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_tn_n"), F.min(_clean(score)).alias("_tn_lo"), F.max(_clean(score)).alias("_tn_hi"))
-    # at most max_hot rows, so the hint is bounded; groups beyond it are ranked like light ones
-    hot = sizes.where(F.col("_tn_n") >= hot_rows).orderBy(F.col("_tn_n").desc(), *keys).limit(max_hot)
-    safe = [F.struct(*[F.col(k) for k in keys]).alias("_tn_g")]
-    hot = F.broadcast(hot.select(*safe, "_tn_lo", "_tn_hi"))
+    mean = sizes.agg(F.least(F.lit(float(most_rows)), F.greatest(F.lit(2.0 * n), F.avg("_tn_n") * times)).alias("_tn_hot"))
+    hot = sizes.crossJoin(F.broadcast(mean)).where(F.col("_tn_n") > F.col("_tn_hot"))  # one row of one number
+    hot = hot.select(F.struct(*[F.col(k) for k in keys]).alias("_tn_g"), "_tn_lo", "_tn_hi", "_tn_hot")
     marked = df.withColumn("_tn_k", F.struct(*[F.col(k) for k in keys])).join(hot, F.col("_tn_k").eqNullSafe(F.col("_tn_g")), "left")
     light = marked.where("_tn_g is null").select(*df.columns).withColumn("rank", rank).where(F.col("rank") <= n)
 
     width = F.col("_tn_hi") - F.col("_tn_lo")
     place = F.when(_clean(score).isNull(), RANGES).when(width > 0, F.least(F.lit(RANGES - 1), F.floor((F.col("_tn_hi") - _clean(score)) / width * RANGES).cast("int"))).otherwise(0)
     heavy = marked.where("_tn_g is not null").withColumn("_tn_range", place.cast("int"))
-    per = heavy.groupBy("_tn_k", "_tn_range").count()
+    per = heavy.groupBy("_tn_k", "_tn_range").agg(F.count("*").alias("count"), F.first("_tn_hot").alias("_tn_hot"))
     ahead = F.coalesce(F.sum("count").over(W.partitionBy("_tn_k").orderBy("_tn_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     needed = per.withColumn("_tn_ahead", ahead).where(F.col("_tn_ahead") < n)
-    needed = F.broadcast(needed.select(F.col("_tn_k").alias("_tn_k2"), F.col("_tn_range").alias("_tn_r2"), F.ceil(F.col("count") / hot_rows).cast("int").alias("_tn_salts")))
+    needed = needed.select(F.col("_tn_k").alias("_tn_k2"), F.col("_tn_range").alias("_tn_r2"), F.ceil(F.col("count") / F.col("_tn_hot")).cast("int").alias("_tn_salts"))
     heavy = heavy.join(needed, F.col("_tn_k").eqNullSafe(F.col("_tn_k2")) & (F.col("_tn_range") == F.col("_tn_r2")))
     heavy = heavy.withColumn("_tn_salt", F.pmod(F.xxhash64(tie_key), F.col("_tn_salts")))
     salted = F.row_number().over(W.partitionBy(*keys, "_tn_range", "_tn_salt").orderBy(_desc(score), *ties))
