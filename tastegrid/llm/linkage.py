@@ -21,15 +21,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import warnings
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tastegrid.operators.geo_near import near_pairs, points_in_regions
-from tastegrid.session import parallelism, settle
+from tastegrid.session import discard, parallelism, settle
 
 REACH_M = 250.0
 COMMON_SHARE, COMMON_LEAST = 0.0045, 5
@@ -188,13 +188,17 @@ def _deletions(c: str) -> Column:
     return F.array_distinct(F.when(F.length(c) >= 5, F.concat(F.array(c), cut)).otherwise(F.array(c)))
 
 
-def admm(variables: DataFrame, rules: DataFrame, rounds: int = 12, rho: float = 1.0) -> DataFrame:
+def admm(variables: DataFrame, rules: DataFrame, least_rounds: int = 8, most_rounds: int = 60, tolerance: float = 0.02, rho: float = 1.0, residuals: list | None = None) -> DataFrame:
     """(var, value). variables: var, up, up_to, down, down_from (hinges up*max(0, up_to - z) and down*max(0, z - down_from));
-    rules: rule, var, c, w, b, each a hinge w*max(0, sum(c*z) + b) over its rows."""
+    rules: rule, var, c, w, b, each a hinge w*max(0, sum(c*z) + b) over its rows.
+
+    Rounds go on until the primal residual (root mean square of copies less their variable) and the dual one (of the
+    variables' last step, times rho) are at most `tolerance`; if most_rounds do not do, the values are not the minimum and a
+    warning says so. `residuals`, a list, takes (round, primal, dual)."""
     z = variables.withColumns({"z": F.col("up_to") * 1.0, "u1": F.lit(0.0), "u2": F.lit(0.0)})
     m = rules.withColumns({"y": F.lit(None).cast("double"), "u": F.lit(0.0)})
-    rule = W.partitionBy("rule")
-    for _ in range(rounds):
+    rule, old = W.partitionBy("rule"), []
+    for n in range(1, most_rounds + 1):
         m = m.join(z.select("var", "z"), "var")
         m = m.withColumn("u", F.when(F.col("y").isNull(), F.col("u")).otherwise(F.col("u") + F.col("y") - F.col("z")))
         m = m.withColumn("v", F.col("z") - F.col("u"))
@@ -202,20 +206,35 @@ def admm(variables: DataFrame, rules: DataFrame, rounds: int = 12, rho: float =
         m = m.withColumn("y", F.col("v") - F.col("c") * F.greatest(F.lit(0.0), F.least(F.col("w") / rho, over)))
         # each round is written once, so that neither plans nor recomputation grow with the rounds
         m = settle(m.select("rule", "var", "c", "w", "b", "y", "u"), "admm-m")
-        sums = m.groupBy("var").agg(F.sum(F.col("y") + F.col("u")).alias("s"), F.count("*").alias("n"))
-        z = z.join(sums, "var", "left").withColumns({"s": F.coalesce("s", F.lit(0.0)), "n": F.coalesce("n", F.lit(0))})
+        sums = m.groupBy("var").agg(F.sum(F.col("y") + F.col("u")).alias("s"), F.count("*").alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"))
+        z = z.join(sums, "var", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("s", "n", "sy", "syy")})
         # projections of the variable's own two hinges
         v1, v2 = F.col("z") - F.col("u1"), F.col("z") - F.col("u2")
         z = z.withColumn("y1", v1 + F.greatest(F.lit(0.0), F.least(F.col("up") / rho, F.col("up_to") - v1)))
         z = z.withColumn("y2", v2 - F.greatest(F.lit(0.0), F.least(F.col("down") / rho, v2 - F.col("down_from"))))
         new = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("s") + F.col("y1") + F.col("u1") + F.col("y2") + F.col("u2")) / (F.col("n") + 2)))
-        z = z.withColumn("z", new)
-        z = z.select("var", "up", "up_to", "down", "down_from", "z", (F.col("u1") + F.col("y1") - F.col("z")).alias("u1"), (F.col("u2") + F.col("y2") - F.col("z")).alias("u2"))
+        z = z.withColumns({"last": F.col("z"), "z": new})
+        apart = F.col("syy") - 2 * F.col("z") * F.col("sy") + F.col("n") * F.col("z") * F.col("z") + F.pow(F.col("y1") - F.col("z"), 2) + F.pow(F.col("y2") - F.col("z"), 2)
+        moved = (F.col("n") + 2) * F.pow(F.col("z") - F.col("last"), 2)
+        z = z.select("var", "up", "up_to", "down", "down_from", "z", (F.col("u1") + F.col("y1") - F.col("z")).alias("u1"), (F.col("u2") + F.col("y2") - F.col("z")).alias("u2"), apart.alias("apart"), moved.alias("moved"), (F.col("n") + 2).alias("copies"))
         z = settle(z, "admm-z")
+        for df in old:  # the round before is read no more
+            discard(df)
+        old = [m, z]
+        if n >= least_rounds:
+            r = z.agg(F.sum("apart").alias("p"), F.sum("moved").alias("d"), F.sum("copies").alias("n")).first()
+            primal, dual = ((max(0.0, r[c] or 0.0) / max(1, r["n"] or 1)) ** 0.5 for c in ("p", "d"))
+            if residuals is not None:
+                residuals.append((n, primal, dual * rho))
+            if primal <= tolerance and dual * rho <= tolerance:
+                break
+        z = z.drop("apart", "moved", "copies")
+    else:
+        warnings.warn(f"no minimum within {most_rounds} rounds: residuals {primal:.3g} and {dual:.3g}", stacklevel=2)
     return z.select("var", F.col("z").alias("value"))
 
 
-def link(places: DataFrame, reviews: DataFrame, cities: DataFrame, rounds: int = 12) -> tuple[DataFrame, DataFrame, DataFrame]:
+def link(places: DataFrame, reviews: DataFrame, cities: DataFrame, residuals: list | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(matches, members, mentions): matches of records and hints (a, b, hint, confidence), place_id -> record, raw_id -> hint."""
     spark = places.sparkSession
     recs, members = place_records(places, cities)
@@ -310,14 +329,18 @@ def link(places: DataFrame, reviews: DataFrame, cities: DataFrame, rounds: int =
     ends = cand.select("var", F.col("a").alias("r"), F.col("source_b").alias("to")).unionByName(cand.where("not hint").select("var", F.col("b").alias("r"), F.col("source_a").alias("to")))
     one = ends.select(F.xxhash64(F.lit("one"), "r", "to").alias("rule"), "var", F.count("*").over(W.partitionBy("r", "to")).alias("n")).where("n > 1")
     one = one.select("rule", "var", F.lit(1.0).alias("c"), F.lit(8.0).alias("w"), F.lit(-1.0).alias("b"))
-    e = cand.select("var", F.col("a").alias("p"), F.col("b").alias("q"), "hint").unionByName(cand.where("not hint").select("var", F.col("b").alias("p"), F.col("a").alias("q"), "hint"))
-    # triangles seen from their least edge, so that each comes once
-    t = e.alias("e1").join(e.alias("e2"), F.expr("e1.p = e2.p and e1.q < e2.q and not e2.hint and not e1.hint or e1.p = e2.p and e1.hint and e2.hint and e1.q < e2.q"))
-    t = t.join(cand.where("not hint").alias("e3"), F.expr("e3.a = e1.q and e3.b = e2.q")).where("e1.hint or e1.p < e1.q")
-    t = t.select(F.col("e1.var").alias("v1"), F.col("e2.var").alias("v2"), F.col("e3.var").alias("v3")).distinct()
+    # triangles: each edge points from the end with fewer edges to the one with more, so no end has more than sqrt(2 * edges)
+    # edges going out, and each triangle comes once, from the end two of its edges leave
+    degree = cand.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
+    ways = cand.select("var", "a", "b").join(degree.select(F.col("node").alias("a"), F.struct(F.col("d"), F.col("node").alias("r")).alias("x")), "a").join(degree.select(F.col("node").alias("b"), F.struct(F.col("d"), F.col("node").alias("r")).alias("y")), "b")
+    ways = settle(ways.select("var", F.least("x", "y").alias("p"), F.greatest("x", "y")["r"].alias("q")).select("var", "p.r", "q"), "ways")
+    t = ways.alias("e1").join(ways.alias("e2"), F.expr("e1.r = e2.r and e1.q < e2.q"))
+    third = cand.select("var", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+    t = t.join(third.alias("e3"), F.expr("e3.lo = e1.q and e3.hi = e2.q"))
+    t = t.select(F.col("e1.var").alias("v1"), F.col("e2.var").alias("v2"), F.col("e3.var").alias("v3"))
     sides = F.array(*[F.struct(F.lit(i).alias("i"), *[F.col(f"v{j}").alias(f"x{j}") for j in (1, 2, 3)]) for i in (1, 2, 3)])
     t = t.select(F.explode(sides).alias("s")).select(F.xxhash64(F.lit("tri"), "s.i", "s.x1", "s.x2", "s.x3").alias("rule"), F.explode(F.array(*[F.struct(F.col(f"s.x{j}").alias("var"), F.when(F.col("s.i") == j, -1.0).otherwise(1.0).alias("c")) for j in (1, 2, 3)])).alias("m"))
     tri = t.select("rule", "m.var", "m.c", F.lit(3.0).alias("w"), F.lit(-1.0).alias("b"))
-    values = admm(cand.select("var", "up", "up_to", "down", "down_from"), settle(one.unionByName(tri), "rules"), rounds)
+    values = admm(cand.select("var", "up", "up_to", "down", "down_from"), settle(one.unionByName(tri), "rules"), residuals=residuals)
     matches = cand.select("var", "a", "b", "hint").join(values, "var").select("a", "b", "hint", F.col("value").alias("confidence"))
     return matches, members, mentions
