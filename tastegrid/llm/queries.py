@@ -15,25 +15,25 @@ from tastegrid.sources.tables import table
 DOMAINS = {"reddit": "social", "youtube": "social", "google": "places", "osm": "places", "user": "own", "manual": "own"}
 
 
-def _ranked(spark: SparkSession, d: str, n: int, hot_rows: int) -> DataFrame:
+def _ranked(spark: SparkSession, d: str, n: int) -> DataFrame:
     scores = table(spark, d, "dish_scores")
     keys = ["dish_id", "restaurant_id", "city_id"]
     last = latest(scores, keys, [F.col("computed_at").desc_nulls_last(), F.col("score_id").desc()], ["status", "score", "mention_count"])
     valid = last.where((F.lower(F.btrim("status", F.lit(" \t\r\n"))) == "ranked") & F.col("score").between(0, 100)).drop("status")
-    return top_n(valid, ["city_id", "dish_id"], "score", [F.col("mention_count").desc_nulls_last(), F.col("restaurant_id").asc_nulls_last()], n, "restaurant_id", hot_rows)
+    return top_n(valid, ["city_id", "dish_id"], "score", [F.col("mention_count").desc_nulls_last(), F.col("restaurant_id").asc_nulls_last()], n, "restaurant_id")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(spark, d, 3, 100_000).select("city_id", "dish_id", "restaurant_id")
+    return _ranked(spark, d, 3).select("city_id", "dish_id", "restaurant_id")
 
 
 def p1_top_ten(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(spark, d, 10, 500).select("city_id", "dish_id", "restaurant_id", "score", "rank")
+    return _ranked(spark, d, 10).select("city_id", "dish_id", "restaurant_id", "score", "rank")
 
 
 def _tagged(spark: SparkSession, d: str) -> DataFrame:
     reviews = table(spark, d, "raw_reviews").select("raw_id", "text", "author")
-    model = pii.fit_on(spark, reviews, "raw_id", "text", "author", table(spark, d, "person_names"))
+    model = pii.fit_on(spark, reviews, "raw_id", "text", "author", table(spark, d, "person_names"), table=d)
     return pii.tag_fields(reviews, "raw_id", ["text", "author"], model)
 
 
@@ -49,7 +49,7 @@ def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     reviews = table(spark, d, "raw_reviews").select("raw_id", "source", "text")
-    model = safety.fit_on(reviews, table(spark, d, "review_labels"), "raw_id", "text")
+    model = safety.fit_on(reviews, table(spark, d, "review_labels"), "raw_id", "text", table=d)
     return safety.score_texts(reviews, "raw_id", "text", model, keep=["source"])
 
 
@@ -74,7 +74,7 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _languages(spark: SparkSession, d: str, labelled: DataFrame) -> DataFrame:
-    model = langid.fit_on(labelled, "raw_id", "text", "label")
+    model = langid.fit_on(labelled, "raw_id", "text", "label", table=d)
     return langid.detect(labelled, "raw_id", "text", model, keep=["label"])
 
 
@@ -90,22 +90,27 @@ def p6_segments(spark: SparkSession, d: str) -> DataFrame:
 
 def _ends(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text", "source", F.length("text").alias("chars"))
-    return truncation.flag(docs, "doc_id", "text", "source", "chars", truncation.fit_on(docs, "doc_id", "text"))
+    return truncation.flag(docs, "doc_id", "text", "source", "chars", truncation.fit_on(docs, "doc_id", "text", table=d))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return _ends(spark, d).where("truncated").select("doc_id")
 
 
+def p10_at_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Only what the hazards of lengths tell: incomplete endings at significant lengths."""
+    return _ends(spark, d).where("at_limit").select("doc_id")
+
+
 def p10_source_rates(spark: SparkSession, d: str) -> DataFrame:
     hit = F.col("truncated")
     return _ends(spark, d).groupBy("source").agg(
-        F.count("*").alias("texts"), F.count_if(hit).alias("truncated"), F.count_if(hit & F.col("significant")).alias("at_fixed_length"), F.avg(hit.cast("double")).alias("rate")
+        F.count("*").alias("texts"), F.count_if(hit).alias("truncated"), F.count_if("at_limit").alias("at_fixed_length"), F.avg(hit.cast("double")).alias("rate")
     )
 
 
 def p10_lengths(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.significant_lengths(table(spark, d, "documents").select("source", F.length("text").alias("chars")), "source", "chars").select("source", "length", "n")
+    return truncation.significant_lengths(table(spark, d, "documents").select("source", F.length("text").alias("chars")), "source", "chars").select("source", "pooled", "length", "n")
 
 
 def p7_matches(spark: SparkSession, d: str) -> DataFrame:
@@ -148,7 +153,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_top_ten": p1_top_ten, "p3_found": p3_found, "p3_redacted": p3_redacted,
     "p4_found": p4_found, "p4_scores": p4_scores, "p4_source_rates": p4_source_rates, "p6_found": p6_found, "p6_segments": p6_segments,
-    "p10_found": p10_found, "p10_source_rates": p10_source_rates, "p10_lengths": p10_lengths,
+    "p10_found": p10_found, "p10_at_limits": p10_at_limits, "p10_source_rates": p10_source_rates, "p10_lengths": p10_lengths,
     "p7_found": p7_found, "p7_matches": p7_matches,
     "p8_packed": p8_packed, "p8_fill_rates": p8_fill_rates, "p9_mix": p9_mix, "p9_shares": p9_shares,
 }
@@ -165,11 +170,12 @@ SQL = {
     "p1_found": _P1 + "select city_id, dish_id, restaurant_id from ranked where rank <= 3",
     "p1_top_ten": _P1 + "select city_id, dish_id, restaurant_id, score, rank from ranked where rank <= 10",
     "p10_lengths": """
-with per as (select source, length(text) as length, count(*) as n from documents where length(text) > 0 group by all),
-a as (select *, sum(n) over (partition by source order by length rows between current row and unbounded following) as at_risk,
-  sum(n) over (partition by source order by length range between 25 preceding and 25 following) - sum(n) over (partition by source order by length range between 1 preceding and 1 following) as deaths from per),
+with own as (select source, false as pooled, length(text) as length, count(*) as n from documents where length(text) > 0 group by all),
+per as (select * from own union all select null, true, length, sum(n) from own group by length),
+a as (select *, sum(n) over (partition by source, pooled order by length rows between current row and unbounded following) as at_risk,
+  sum(n) over (partition by source, pooled order by length range between 25 preceding and 25 following) - sum(n) over (partition by source, pooled order by length range between 1 preceding and 1 following) as deaths from per),
 b as (select *, greatest((deaths + 1.0) / (at_risk * least(48, length + 24)), 1e-12) * at_risk as mu from a),
 c as (select *, case when n > mu then exp(-(n * ln(n / mu) - n + mu)) else 1 end as p, count(*) over () as tests from b),
-d as (select *, row_number() over (order by p, source nulls first, length) as rk from c where p <= 0.01 and n >= 5)
-select source, length, n from d where rk <= (select max(rk) from d where p <= rk / tests * 0.01)""",
+d as (select *, row_number() over (order by p, pooled, source nulls first, length) as rk from c where p <= 0.01)
+select source, pooled, length, cast(n as bigint) as n from d where rk <= (select max(rk) from d where p <= rk / tests * 0.01)""",
 }
