@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tastegrid.llm import langid, linkage, mixing, packing, pii, safety, truncation
+from tastegrid.llm import langid, linkage, mixing, models, packing, pii, safety, truncation
 from tastegrid.llm.chartagger import CharTagger, encode
+from tastegrid.llm.tokens import token_counts
 from tastegrid.llm.top_n import latest, top_n
 
 
@@ -25,11 +26,11 @@ def top_brute(rows, n):
     return {(g, i + 1, r[4]) for g, rs in best.items() for i, r in enumerate(sorted(rs, key=key)[:n])}
 
 
-@pytest.mark.parametrize("hot", [5, 40, 10**6])
+@pytest.mark.parametrize("hot", [0.1, 1.5, 10**6])
 def test_top_n_equals_brute_force(spark, hot):
-    r = random.Random(hot)
+    r = random.Random(int(hot * 10))
     rows = [(r.choice(["a", "a", "a", "b", None]), r.choice(["x", None]), r.choice([1.0, 2.0, 2.0, 50.0, r.random() * 100, None, float("nan")]), r.choice([1, 2, None]), f"i{i:04d}", 1, 1) for i in range(400)]
-    got = top_n(spark.createDataFrame(rows, TOP), ["g", "h"], "s", [F.col("m").desc_nulls_last(), F.col("id").asc_nulls_last()], 3, "id", hot_rows=hot)
+    got = top_n(spark.createDataFrame(rows, TOP), ["g", "h"], "s", [F.col("m").desc_nulls_last(), F.col("id").asc_nulls_last()], 3, "id", times=hot)
     found = [((x["g"], x["h"]), x["rank"], x["id"]) for x in got.collect()]
     assert len(found) == len(set(found)) and set(found) == top_brute(rows, 3)
 
@@ -37,7 +38,7 @@ def test_top_n_equals_brute_force(spark, hot):
 def test_top_n_all_tied_and_empty(spark):
     rows = [("a", "x", 7.0, 1, f"i{i:03d}", 1, 1) for i in range(60)]
     df = spark.createDataFrame(rows, TOP)
-    got = top_n(df, ["g", "h"], "s", [F.col("id")], 2, "id", hot_rows=10).collect()
+    got = top_n(df, ["g", "h"], "s", [F.col("id")], 2, "id", most_rows=10).collect()
     assert sorted(x["id"] for x in got) == ["i000", "i001"]
     assert top_n(df.limit(0), ["g", "h"], "s", [F.col("id")], 2, "id").count() == 0
     assert latest(df, ["g"], [F.col("id").desc()], ["s"]).collect()[0]["s"] == 7.0
@@ -125,11 +126,18 @@ def test_plain_words():
 
 def test_interactions_are_learnt():
     rows = [["cook", "pig"], ["cook", "good"], ["roast", "pig"], ["roast", "good"]]
-    x = safety.padded([safety.terms(" ".join(r)) for r in rows] * 50)
+    x = [safety.terms(" ".join(r)) for r in rows] * 50
     y = np.array([1.0, 0, 0, 0] * 50)
     m = safety.FactorizationMachine()
     m.fit(x, y, np.ones(len(y)), epochs=40)
     assert (m.score(x) > 0.5).tolist() == (y > 0.5).tolist()
+    # whatever lies between the two words
+    long = ["cook " + " ".join(f"w{i}x" for i in range(300)) + " pig"]
+    own = safety.terms(long[0])
+    assert len(own) > 300 and m.score([own, []]).shape == (2,)
+    v, n = m.v[own], len(own)
+    pairs = 0.5 * ((v.sum(0) ** 2).sum() - (v * v).sum()) / n
+    assert abs(np.log(m.score([own])[0] / (1 - m.score([own])[0])) - (m.b + m.w[own].sum() / n**0.5 + pairs)) < 1e-3
 
 
 def test_fit_survives_noise_and_odd_rows(spark):
@@ -190,7 +198,10 @@ def test_endings():
     assert truncation.ending("All was fine.")[0] == "closed" and truncation.ending("fine 🔥")[0] == "closed"
     assert truncation.ending("The soup was [more]")[0] == "broken" and truncation.ending("Tom &am")[0] == "broken"
     assert truncation.ending("It cost Rs.")[0] == "open" and truncation.ending("")[0] == "closed"
-    assert truncation.ending("see https://clips.exa", {"clips.example"})[0] == "broken"
+    assert truncation.ending("see https://clips.exa/x1", False)[0] == "broken" and truncation.ending("see https://clips.example/x1", True)[0] == "closed"
+    far = "It all began well. " + "and so on " * 5000
+    assert truncation.ending(far) == ("open", far[19:].rstrip()) and truncation.strip_end("x" + " ... read more" * 40)[0] == "x"
+    assert truncation.ending("word " * 300 + "https://clips.example/" + "y" * 900)[0] == "closed"
 
 
 def test_truncated_texts(spark):
@@ -209,11 +220,12 @@ def test_truncated_texts(spark):
     df = spark.createDataFrame(rows, "id int, text string, source string, cut boolean").withColumn("chars", F.length("text"))
     got = truncation.flag(df, "id", "text", "source", "chars", truncation.fit([x[1] for x in rows if x[1]]))
     peaks = truncation.significant_lengths(df, "source", "chars").collect()
-    assert [(p["source"], p["length"]) for p in peaks] == [("a", 100)]
+    assert {(p["source"], p["pooled"], p["length"]) for p in peaks} == {("a", False, 100), (None, True, 100)}
     truth = {x[0]: x[3] for x in rows}
     out = got.collect()
     assert len(out) == len(rows)
     hit = {x["id"] for x in out if x["truncated"]}
+    assert {x["length"] for x in out if x["at_limit"]} == {100}
     cut = {i for i, c in truth.items() if c}
     assert len(hit & cut) > 0.85 * len(cut) and len(hit - cut) < 0.05 * len(rows)
 
@@ -257,6 +269,18 @@ def test_budgets_go_to_siblings_first():
     assert got[("b", "en")] == 20 and abs(got[("a", "en")] - 180) < 1e-6 and abs(got[("c", "en")] - 200) < 1e-6
     got = mixing.budgets(leaves, targets, {"a": "x", "b": "x", "c": "y"}, total=10_000)
     assert got == {("a", "en"): 1000, ("b", "en"): 20, ("c", "en"): 1000}
+    # a source short in one language leaves the rest to the other source of that language before other languages
+    leaves = [("a", "en", 1000.0), ("a", "de", 1000.0), ("b", "en", 10.0), ("b", "de", 10.0)]
+    got = mixing.budgets(leaves, {"a": (0.5, 1), "b": (0.5, 1)}, {"a": "x", "b": "x"}, total=400)
+    assert got[("b", "en")] == 10 and abs(got[("a", "en")] - 190) < 1e-6 and abs(sum(got.values()) - 400) < 1e-6
+
+
+def test_too_many_leaves_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_LEAVES", 2)
+    df = spark.createDataFrame([(i, "a", f"l{i}", 5) for i in range(4)], "doc_id int, source string, lang string, tokens int")
+    t = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
+    with pytest.raises(ValueError):
+        mixing.mix(df, "doc_id", "source", "lang", "tokens", t, {})
 
 
 def test_mix(spark):
@@ -289,7 +313,7 @@ def test_linkage(spark):
     ] + [(f"pl-2{i:02d}", "google", f"x{i}", f"Zz{'aeiou'[i % 5]}{i}q Grill", 22.1 + i * 0.004, 88.1, None, None, t) for i in range(8)]
     reviews = [("rv-1", "Abelur Bakery", "ct", None, None), ("rv-2", "some joint", "ct", None, None), ("rv-3", "Bodekin", "ct", 22.0042, 88.0), ("rv-4", None, "ct", 22.0, 88.0), ("rv-5", " ", None, None, None)]
     cities = spark.createDataFrame([("ct", 22.0, 88.0, 30000)], "id string, lat double, lng double, radius_m int")
-    matches, members, mentions = linkage.link(spark.createDataFrame(rows, PLACES), spark.createDataFrame(reviews, REVIEWS), cities, rounds=8)
+    matches, members, mentions = linkage.link(spark.createDataFrame(rows, PLACES), spark.createDataFrame(reviews, REVIEWS), cities)
     best = matches.where("confidence > 0.5")
     a, b = members.select(F.col("rid").alias("a"), F.col("place_id").alias("x")), members.select(F.col("rid").alias("b"), F.col("place_id").alias("y"))
     pairs = {tuple(sorted((r["x"], r["y"]))) for r in best.where("not hint").join(a, "a").join(b, "b").collect()}
@@ -301,10 +325,10 @@ def test_linkage(spark):
     assert all(0 <= r["confidence"] <= 1 for r in matches.collect())
 
 
-def _linked(spark, rows, reviews, rounds=12):
+def _linked(spark, rows, reviews):
     """Pairs of place_ids, and of raw_id and place_id, with a confidence above 0.5."""
     cities = spark.createDataFrame([("ct", 22.0, 88.0, 30000), ("far", 51.0, 2.0, 30000)], "id string, lat double, lng double, radius_m int")
-    matches, members, mentions = linkage.link(spark.createDataFrame(rows, PLACES), spark.createDataFrame(reviews, REVIEWS), cities, rounds=rounds)
+    matches, members, mentions = linkage.link(spark.createDataFrame(rows, PLACES), spark.createDataFrame(reviews, REVIEWS), cities)
     best = matches.where("confidence > 0.5")
     a, b = members.select(F.col("rid").alias("a"), F.col("place_id").alias("x")), members.select(F.col("rid").alias("b"), F.col("place_id").alias("y"))
     pairs = {tuple(sorted((r["x"], r["y"]))) for r in best.where("not hint").join(a, "a").join(b, "b").collect()}
@@ -355,5 +379,52 @@ def test_admm_solves_a_known_problem(spark):
     # two variables wanting 1 that may add up to 1 at most: the stronger pull wins
     v = spark.createDataFrame([(1, 4.0, 1.0, 0.5, 0.0), (2, 2.0, 1.0, 0.5, 0.0), (3, 1.0, 0.8, 0.2, 0.0)], "var long, up double, up_to double, down double, down_from double")
     rules = spark.createDataFrame([("one", 1, 1.0, 8.0, -1.0), ("one", 2, 1.0, 8.0, -1.0)], "rule string, var long, c double, w double, b double")
-    got = {r["var"]: r["value"] for r in linkage.admm(v, rules, rounds=25).collect()}
+    residuals = []
+    got = {r["var"]: r["value"] for r in linkage.admm(v, rules, tolerance=1e-3, residuals=residuals).collect()}
     assert got[1] > 0.9 and got[2] < 0.1 and abs(got[3] - 0.8) < 0.02
+    assert residuals[-1][1] <= 1e-3 and residuals[-1][2] <= 1e-3
+    with pytest.warns(UserWarning, match="no minimum"):
+        linkage.admm(v, rules, least_rounds=2, most_rounds=2, tolerance=1e-9)
+
+
+# --- models ------------------------------------------------------------------------------------------------------------
+def test_network_in_onnxruntime_equals_numpy():
+    m = CharTagger(5, hidden=6, seed=2)
+    ids, sizes = np.random.default_rng(0).integers(1, 137, size=(7, 40)).astype(np.uint8), np.array([40, 1, 3, 17, 40, 9, 2])
+    want = m.emissions(ids, sizes)
+    m.compile()
+    live = np.arange(40)[None] < sizes[:, None]
+    assert m.graph is None or np.abs(m.emissions(ids, sizes) - want)[live].max() < 1e-5
+
+
+def test_decoding_leaves_out_only_texts_without_labels():
+    m = CharTagger(3, hidden=4, seed=5)
+    r = np.random.default_rng(1)
+    m.p["trans"] = r.normal(size=(3, 3)).astype(np.float32)
+    at = np.arange(0, 601, 3)
+    scores = r.normal(size=(600, 3)).astype(np.float32) * 3
+    scores[::2, 0] += 6
+    for got, a in zip(m._viterbi(scores, at, 64), at):
+        best = max(itertools.product(range(3), repeat=3), key=lambda p: m.p["start"][p[0]] + sum(scores[a + i, x] for i, x in enumerate(p)) + m.p["trans"][p[0], p[1]] + m.p["trans"][p[1], p[2]])
+        assert tuple(got) == best
+
+
+def test_models_are_fitted_once_a_table(spark):
+    fits = []
+    fit = lambda: fits.append(1) or np.arange(3)
+    key = str(random.random())
+    for table, sample in ((key, ["a", None]), (key, ["a", None]), (key, ["a"]), (key + "x", ["a", None])):
+        assert models.stored(spark, table, "test", (1,), sample, fit).tolist() == [0, 1, 2]
+    assert len(fits) == 3
+
+
+def test_ordinary_words_of_all_rows(spark):
+    df = spark.createDataFrame([(f"Warm soup {i}",) for i in range(6)] + [(None,), ("Keldra Soup",)], "t string")
+    assert pii.ordinary_words(df, "t") == {"soup"}
+    assert pii.ordinary_words(df.limit(0), "t") == set()
+
+
+def test_token_counts(spark):
+    df = spark.createDataFrame([("a", "The soup was warm"), ("b", None), ("c", ""), ("d", "x" * 20000), ("e", "<|endoftext|>")], "id string, text string")
+    got = {r["id"]: r["tokens"] for r in token_counts(df, "id", "text", []).collect()}
+    assert got["a"] == 4 and got["b"] == got["c"] == 0 and got["d"] > 100 and got["e"] > 1
