@@ -11,17 +11,9 @@ from tastegrid.operators import scoring as S
 from tastegrid.operators.parse import parse_queries
 from tastegrid.operators.resolve import name_similarity, resolve
 from tastegrid.plans.bindings import OBS, SCORES, now, observations
-from tastegrid.plans.texts import slug_sql, tokens_sql, txt7_clauses
+from tastegrid.plans.texts import normal_sql, slug_sql, txt7_clauses
 from tastegrid.sources.tables import table
 
-# fixed values: words that show which aspect a clause is about
-ASPECTS = {
-    "taste": ["taste", "tastes", "flavour", "flavor", "tasty", "delicious", "bland"], "portion": ["portion", "portions", "quantity", "serving", "filling"], "price": ["price", "cost", "expensive", "cheap", "overpriced", "value", "worth"],
-    "service": ["service", "staff", "waiter", "rude", "polite", "attentive"], "ambience": ["ambience", "atmosphere", "decor", "seating", "music"], "hygiene": ["hygiene", "clean", "dirty", "unhygienic"],
-    "wait_time": ["wait", "waiting", "slow", "quick", "fast", "delay", "queue"],
-}
-
-
 def _incoming(spark, d):
     return table(spark, d, "raw_places").select(F.col("place_id").alias("row_id"), "name", "lat", "lng", "source", "external_id")
 
@@ -44,9 +36,7 @@ def txt16_name_similarity(spark, d):
 
 
 def txt10_aspects(spark, d):
-    words = T.token_set("text")
-    hits = F.array_compact(F.array(*[F.when(F.arrays_overlap(words, F.array(*map(F.lit, ws))), F.lit(n)) for n, ws in ASPECTS.items()]))
-    return table(spark, d, "raw_reviews").select("raw_id", F.explode(hits).alias("aspect"))
+    return table(spark, d, "raw_reviews").select("raw_id", T.normalize_name("text").alias("n")).select("raw_id", F.explode(T.aspects_in("n")).alias("aspect"))
 
 
 def txt14_hamming(spark, d):
@@ -65,11 +55,10 @@ def krn17_overall_sentiment(spark, d):
 
 
 def krn18_review_aspects(spark, d):
-    """The surest clause of each aspect; ties go to the earlier clause."""
-    c = T.with_clause_sentiment(txt7_clauses(spark, d).withColumn("_words", T.token_set("clause")), "clause")
-    hits = F.array_compact(F.array(*[F.when(F.arrays_overlap("_words", F.array(*map(F.lit, ws))), F.lit(n)) for n, ws in ASPECTS.items()]))
-    c = c.where("confidence > 0.2").select("raw_id", "at", "sentiment", "confidence", F.explode(hits).alias("aspect"))
-    return S.latest_per_key(c, ["raw_id", "aspect"], F.col("confidence").desc(), F.col("at").asc()).select("raw_id", "aspect", F.round("sentiment", 4).alias("sentiment"))
+    """Of the aspects of a visit, the surest clause's sentiment; ties go to the earlier clause."""
+    c = T.with_clause_sentiment(txt7_clauses(spark, d).withColumn("_normal", T.normalize_name("clause")), "clause")
+    c = c.where("confidence > 0.2").select("raw_id", "at", "sentiment", "confidence", F.explode(F.array_intersect(T.aspects_in("_normal"), F.array(*map(F.lit, T.VISIT_ASPECTS)))).alias("aspect"))
+    return S.latest_per_key(c, ["raw_id", "aspect"], F.col("confidence").desc(), F.col("at").asc()).select("raw_id", "aspect", "sentiment")
 
 
 def krn10_supported_sentences(spark, d):
@@ -169,7 +158,7 @@ SQL = {
         case when contains(q, 'between') then cast(nullif(regexp_extract(q, 'between\\s*\\d{2,5}\\s*(?:and|to|-)\\s*(\\d{2,5})', 1), '') as int) else cast(nullif(regexp_extract(q, '(?:under|below|less than|within|up to)\\s*(\\d{2,5})', 1), '') as int) end as max_price,
         nullif(regexp_extract(q, '\\b(?:in|near|around) ([a-z ]+)$', 1), '') as area, trim(regexp_replace(q, '\\b(?:in|near|around) [a-z ]+$', '')) as rest from t)
       select doc_id, superlative, near_me, min_price, max_price, area, trim(regexp_replace(regexp_replace(rest, '\\b(?:best|top|famous|popular|must try|near me|the|a|some|good|food|place|places)\\b', '', 'g'), '\\s+', ' ', 'g')) as dish from p""",
-    "txt10_aspects": "select raw_id, aspect from (select raw_id, unnest(list_filter([" + ", ".join(f"case when list_has_any(ts, {ws}) then '{n}' end" for n, ws in ASPECTS.items()) + f"], lambda x: x is not null)) as aspect from (select raw_id, {tokens_sql('text')} as ts from raw_reviews))",
+    "txt10_aspects": "select raw_id, aspect from (select raw_id, unnest(list_filter([" + ", ".join(f"case when regexp_matches(n, '(^|[^a-z])({'|'.join(ws)})([^a-z]|$)') then '{a}' end" for a, ws in T.ASPECTS.items()) + f"], lambda x: x is not null)) as aspect from (select raw_id, {normal_sql('text')} as n from raw_reviews))",
     "snk7_replaced_rows": """select provider, count(*) as n from (select provider from review_analysis where raw_id not in (select raw_id from review_analysis where restaurant_id = 'rs-000000001')
       union all select 'again' from review_analysis where restaurant_id = 'rs-000000001') group by all""",
     "snk8_upserted_places": """with p as (select *, row_number() over (partition by source, external_id order by fetched_at nulls first, place_id) as rn from raw_places), o as (select * from p where rn = 1), n as (select * from p where rn = 2)

@@ -8,11 +8,6 @@ from tastegrid.functions import text as T
 from tastegrid.operators import mentions as M
 from tastegrid.sources.tables import table
 
-# fixed values: words that show an attribute of a dish
-ATTRIBUTES = {
-    "spicy": ["spicy", "jhaal", "fiery"], "juicy": ["juicy", "succulent"], "crispy": ["crispy", "crisp", "crunchy"], "oily": ["oily", "greasy"], "fresh": ["fresh"], "soft": ["soft", "fluffy"],
-    "sweet": ["sweet", "mishti"], "tangy": ["tangy", "sour", "tok"], "smoky": ["smoky", "charred", "tandoori"],
-}
 QUERIES_ASKED = ["rice biryani", "prawn rol", "chiken momo", "yoghurt", "crab soup", "banana flower", "lentil", "blue", "cafe"]
 
 
@@ -20,6 +15,11 @@ def _reviews(spark, d):
     return table(spark, d, "raw_reviews")
 
 
+def _fingerprint():
+    """Of what was written, by whom and when: text, author and time of publication."""
+    return T.content_hash(T.normalize_name(T.clean_text("text")), T.normalize_name("author"), F.date_format("published_at", "yyyy-MM-dd HH:mm:ss"))
+
+
 def txt1_clean_text(spark, d):
     return _reviews(spark, d).select("raw_id", T.clean_text("text").alias("clean"))
 
@@ -33,7 +33,7 @@ def txt3_slugs(spark, d):
 
 
 def txt4_content_hashes(spark, d):
-    return _reviews(spark, d).select("raw_id", T.content_hash(T.normalize_name(T.clean_text("text")), T.normalize_name("author")).alias("hash"))
+    return _reviews(spark, d).select("raw_id", _fingerprint().alias("hash"))
 
 
 def txt5_prices(spark, d):
@@ -54,9 +54,8 @@ def txt8_clause_sentiment(spark, d):
 
 
 def txt9_attributes(spark, d):
-    low = T.normalize_name("text")
-    hits = F.array_compact(F.array(*[F.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)), F.lit(name)) for name, words in ATTRIBUTES.items()]))
-    return _reviews(spark, d).select("raw_id", F.explode(hits).alias("attribute"))
+    # the normalised text is a column of its own, so that it isn't computed for each word
+    return _reviews(spark, d).select("raw_id", T.normalize_name("text").alias("n")).select("raw_id", F.explode(T.attributes_in("n")).alias("attribute"))
 
 
 def txt11_scripts(spark, d):
@@ -109,7 +108,7 @@ def res4_named_places(spark, d):
 
 
 def dup1_exact_duplicates(spark, d):
-    return M.exact_duplicates(_reviews(spark, d), "raw_id", T.content_hash(T.normalize_name(T.clean_text("text")), T.normalize_name("author")))
+    return M.exact_duplicates(_reviews(spark, d), "raw_id", _fingerprint())
 
 
 def dup2_near_duplicates(spark, d):
@@ -124,17 +123,26 @@ _FNS = [
 QUERIES = {f.__name__: f for f in _FNS}
 
 
+# half and full width forms, as text, and what else of the compatibility characters the tables hold
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_NARROW = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+
+
 def clean_sql(c: str) -> str:
-    c = f"regexp_replace(coalesce({c}, ''), '[\\x{{200b}}-\\x{{200f}}\\x{{feff}}\\x{{2060}}]', '', 'g')"
+    c = f"nfc_normalize(translate(replace(replace(coalesce({c}, ''), '…', '...'), chr(160), ' '), '{_WIDE}', '{_NARROW}'))"
+    c = f"regexp_replace({c}, '[\\x{{200b}}-\\x{{200f}}\\x{{feff}}\\x{{2060}}]', '', 'g')"
     c = f"regexp_replace({c}, '(?i)https?://\\S+|www\\.\\S+', ' ', 'g')"
     c = f"regexp_replace({c}, '[*_~`>#\\[\\]()]', ' ', 'g')"
     return f"substr(trim(regexp_replace({c}, '\\s+', ' ', 'g')), 1, 8000)"
 
 
 def normal_sql(c: str) -> str:
-    c = f"replace(translate(lower(coalesce({c}, '')), '{T.ACCENTED}', '{T.PLAIN}'), '&', ' and ')"
+    """DuckDB's own removal of accents; signs of vowels, which it would drop too, become blanks before."""
+    signs = "[\\x{0900}-\\x{0903}\\x{093a}\\x{093b}\\x{093e}-\\x{094c}\\x{094e}\\x{094f}\\x{0962}\\x{0963}\\x{0981}-\\x{0983}\\x{09be}-\\x{09cc}\\x{09d7}\\x{09e2}\\x{09e3}]"
+    c = f"strip_accents(regexp_replace(translate(replace(coalesce({c}, ''), '…', ' '), '{_WIDE}', '{_NARROW}'), '{signs}', ' ', 'g'))"
+    c = f"replace(lower({c}), '&', ' and ')"
     c = f"trim(regexp_replace(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
-    for ending in T.NAME_ENDINGS:
+    for ending in ("pvt ltd", "private limited", "llp", "restaurant and bar", "family restaurant"):
         c = f"trim(regexp_replace({c}, '{ending}$', ''))"
     return c
 
@@ -151,7 +159,7 @@ def trigrams_sql(c: str) -> str:
     return f"list_distinct(flatten(list_transform({tokens_sql(c)}, lambda w: list_transform(range(1, cast(len(w) + 2 as bigint)), lambda i: substr('  ' || w || ' ', i, 3)))))"
 
 
-_HASH = f"sha256({normal_sql(clean_sql('text'))} || case when author is null then '|' else '|' || {normal_sql('author')} end)"
+_HASH = f"sha256({normal_sql(clean_sql('text'))} || case when author is null then '|' else '|' || {normal_sql('author')} end || case when published_at is null then '' else '|' || strftime(published_at, '%Y-%m-%d %H:%M:%S') end)"
 _HITS = lambda marks: "(" + " + ".join(f"cast(contains(low, '{m}') as int)" for m in marks) + ")"
 _ASKED = "asked as (select unnest([" + ", ".join(f"'{q}'" for q in QUERIES_ASKED) + "]) as query)"
 _SIM = "round(len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))), 4)"
@@ -178,7 +186,7 @@ SQL = {
     "txt3_slugs": f"select id, {slug_sql('name')} as slug from restaurants",
     "txt4_content_hashes": f"select raw_id, {_HASH} as hash from raw_reviews",
     "txt6_tokens": f"select raw_id, cast(len({tokens_sql('text')}) as int) as tokens, cast(len(list_distinct({tokens_sql('text')})) as int) as distinct_tokens from raw_reviews",
-    "txt9_attributes": "select raw_id, attribute from (select raw_id, unnest(list_filter([" + ", ".join("case when " + " or ".join(f"contains(low, '{w}')" for w in ws) + f" then '{n}' end" for n, ws in ATTRIBUTES.items()) + f"], lambda x: x is not null)) as attribute from (select raw_id, {normal_sql('text')} as low from raw_reviews))",
+    "txt9_attributes": "select raw_id, attribute from (select raw_id, unnest(list_filter([" + ", ".join("case when " + " or ".join(f"contains(low, '{w}')" for w in ws) + f" then '{n}' end" for n, ws in T.ATTRIBUTES.items()) + f"], lambda x: x is not null)) as attribute from (select raw_id, {normal_sql('text')} as low from raw_reviews))",
     "txt11_scripts": """with c as (select raw_id, len(regexp_replace(text, '[^\\x{0980}-\\x{09ff}]', '', 'g')) as b, len(regexp_replace(text, '[^\\x{0900}-\\x{097f}]', '', 'g')) as h, nullif(len(regexp_replace(text, '[^\\p{L}\\p{M}]', '', 'g')), 0) as n from raw_reviews)
       select raw_id, case when b / n > 0.2 then 'bengali' when h / n > 0.2 then 'devanagari' else 'other' end as script from c""",
     "txt12_spam": f"""with c as (select raw_id, trim(coalesce(text, '')) as body, lower(trim(coalesce(text, ''))) as low, {tokens_sql('text')} as ts, len(regexp_replace(trim(coalesce(text, '')), '\\P{{L}}', '', 'g')) as letters, len(regexp_replace(trim(coalesce(text, '')), '\\P{{Lu}}', '', 'g')) as capitals from raw_reviews)
