@@ -25,6 +25,23 @@ def map_elements(payloads: DataFrame, json: str = "json") -> DataFrame:
     ).where("length(name) > 0 and lat is not null and lng is not null")
 
 
+# fixed values: price words of the places API, cheapest first
+PRICE_WORDS = ["PRICE_LEVEL_INEXPENSIVE", "PRICE_LEVEL_MODERATE", "PRICE_LEVEL_EXPENSIVE", "PRICE_LEVEL_VERY_EXPENSIVE"]
+API_PLACE = "id string, displayName struct<text:string>, formattedAddress string, location struct<latitude:double,longitude:double>, rating double, userRatingCount int, priceLevel string, websiteUri string, businessStatus string"
+
+
+def api_places(payloads: DataFrame, keep: list[str], json: str = "json") -> DataFrame:
+    """(kept columns, external_id, name, address, lat, lng, rating, rating_count, price_level, website). Items without id, name
+    or position, those closed for good, and broken documents give none; unknown price words give a null level."""
+    p = payloads.select(*keep, F.from_json(json, API_PLACE).alias("p")).select(*keep, "p.*")
+    level = F.array_position(F.array(*map(F.lit, PRICE_WORDS)), F.col("priceLevel")).cast("int")
+    p = p.where("id is not null and trim(displayName.text) <> '' and location.latitude is not null and location.longitude is not null and coalesce(businessStatus, '') <> 'CLOSED_PERMANENTLY'")
+    return p.select(
+        *keep, F.col("id").alias("external_id"), F.col("displayName.text").alias("name"), F.col("formattedAddress").alias("address"), F.col("location.latitude").alias("lat"), F.col("location.longitude").alias("lng"),
+        "rating", F.col("userRatingCount").alias("rating_count"), F.nullif(level, F.lit(0)).alias("price_level"), F.col("websiteUri").alias("website"),
+    )
+
+
 def posts_to_reviews(posts: DataFrame, least: int = 40) -> DataFrame:
     """posts: id, title, body, created (epoch seconds), author, score. Removed and short ones are left out."""
     body = F.when(F.lower(F.btrim("body")).isin("[deleted]", "[removed]"), F.lit(None)).otherwise(clean_text("body"))
