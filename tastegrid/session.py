@@ -61,12 +61,17 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def settle(df: DataFrame, name: str = "step") -> DataFrame:
-    """Cut the lineage: write to the shared folder, read again. Survives the loss of executors."""
+def settle(df: DataFrame, name: str = "step", release: bool = False) -> DataFrame:
+    """Cut the lineage: write to the shared folder, read again. Survives the loss of executors.
+
+    release: for jobs of many steps; Spark deletes the shuffle files of a step when its plan is collected as garbage on the
+    driver, which this asks for, as a driver with room to spare would otherwise let them pile up on the executors' disks."""
     path = f"{run_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tastegrid_path = path
+    if release:
+        df.sparkSession.sparkContext._jvm.System.gc()
     return out
 
 
