@@ -29,7 +29,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tastegrid.operators.geo_near import near_pairs, points_in_regions
-from tastegrid.session import discard, parallelism, settle
+from tastegrid.session import discard, parallelism
+from tastegrid.session import settle as _settle
 
 REACH_M = 250.0
 COMMON_SHARE, COMMON_LEAST = 0.0045, 5
@@ -188,6 +189,10 @@ def _deletions(c: str) -> Column:
     return F.array_distinct(F.when(F.length(c) >= 5, F.concat(F.array(c), cut)).otherwise(F.array(c)))
 
 
+def settle(df: DataFrame, name: str) -> DataFrame:
+    return _settle(df, name, release=True)
+
+
 def admm(variables: DataFrame, rules: DataFrame, least_rounds: int = 8, most_rounds: int = 60, tolerance: float = 0.02, rho: float = 1.0, residuals: list | None = None) -> DataFrame:
     """(var, value). variables: var, up, up_to, down, down_from (hinges up*max(0, up_to - z) and down*max(0, z - down_from));
     rules: rule, var, c, w, b, each a hinge w*max(0, sum(c*z) + b) over its rows.
