@@ -75,10 +75,13 @@ def badges(scores: DataFrame, gem_positivity: float = 0.85, gem_consistency: flo
     dish = W.partitionBy("dish_id")
     first = lambda col, ok: (F.row_number().over(dish.orderBy(ok.desc(), F.col(col).desc_nulls_last(), F.col("restaurant_id").asc(), F.col("city_id").asc())) == 1) & ok
     priced, steady = F.col("value_score").isNotNull(), F.col("mention_count") >= steady_mentions
-    counts, peers = F.array_sort(F.collect_list("mention_count").over(dish)), F.count("*").over(dish)
-    cutoff = F.element_at(counts, F.greatest(F.lit(1), F.floor(peers / 3).cast("int")))
-    gem = (peers >= 3) & (F.col("observed_positivity") >= gem_positivity) & (F.col("consistency") >= gem_consistency) & (F.col("mention_count") <= cutoff)
-    return r.select(*PAIR, first("value_score", priced).alias("best_value"), first("consistency", steady).alias("most_consistent"), gem.alias("hidden_gem"))
+    # the count a third of the way up of each dish: counts of counts, added up, so no list of a dish's peers is ever held
+    per = r.groupBy("dish_id", "mention_count").agg(F.count("*").alias("_c"))
+    upto, peers = F.sum("_c").over(W.partitionBy("dish_id").orderBy("mention_count")), F.sum("_c").over(dish)
+    per = per.withColumns({"_upto": upto, "_peers": peers}).where(F.col("_upto") >= F.greatest(F.lit(1), F.floor(F.col("_peers") / 3)))
+    thirds = per.groupBy("dish_id").agg(F.min("mention_count").alias("_cutoff"), F.first("_peers").alias("_peers"))
+    gem = (F.col("_peers") >= 3) & (F.col("observed_positivity") >= gem_positivity) & (F.col("consistency") >= gem_consistency) & (F.col("mention_count") <= F.col("_cutoff"))
+    return r.join(thirds, "dish_id").select(*PAIR, first("value_score", priced).alias("best_value"), first("consistency", steady).alias("most_consistent"), gem.alias("hidden_gem"))
 
 
 def trends(obs: DataFrame, keys: list[str], now: Column, recent_days: int = 60, total_days: int = 240, least: int = 3, step: float = 0.08) -> DataFrame:

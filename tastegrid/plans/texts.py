@@ -64,7 +64,7 @@ def txt11_scripts(spark, d):
 
 
 def txt12_spam(spark, d):
-    return _reviews(spark, d).select("raw_id", T.spam_score("text").alias("spam"))
+    return _reviews(spark, d).select("raw_id", "text", T.tokens("text").alias("words")).select("raw_id", T.spam_score("text", words="words").alias("spam"))
 
 
 def txt13_simhashes(spark, d):
