@@ -5,6 +5,7 @@ import random
 from datetime import datetime
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -387,6 +388,42 @@ def test_admm_solves_a_known_problem(spark):
         linkage.admm(v, rules, least_rounds=2, most_rounds=2, tolerance=1e-9)
 
 
+def test_names_of_any_length_are_compared_whole():
+    one = lambda a, b: linkage._compare_names(*[pd.Series([x]) for x in (a, b, [], [], a.replace(" ", ""), b.replace(" ", ""))])["name"][0]
+    assert one("abcdefghijklmnopqrstuvwxyz", "zyxzyxzyxzyxzyxzyxzyx") < 0.3  # lengths more than 4 apart are no 9 edits
+    assert one("abelur", "ablur") > 0.8 and one("", "abelur") == 0
+    words = ["", "a", "ab", "ba", "abelur", "ableur", "bodekin" * 9]
+    pairs = [(x, y) for x in words for y in words]
+    got = dict(zip(pairs, linkage._distances([x for x, _ in pairs], [y for _, y in pairs])))
+    assert got["ab", "ba"] == 1 and got["abelur", "ableur"] == 1 and got["", "abelur"] == 6 and got["a", "ab"] == 1 and got["bodekin" * 9, "ab"] >= 61
+
+
+def test_no_pair_with_support_is_left_out_near():
+    rng = np.random.default_rng(1)
+    name = lambda: "".join(rng.choice(list("abkoué c"), rng.integers(1, 9))).strip()
+    core = [name() for _ in range(300)]
+    kinds = [["cafe"] * int(rng.integers(2)) for _ in core]
+    joined = [c.replace(" ", "") + "".join(k) for c, k in zip(core, kinds)]
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(300), np.arange(300)))
+    o = linkage._outlines(pd.Series(core), pd.Series(joined))
+    side = lambda at, src: {c: o[c].to_numpy()[at] for c in linkage.OUTLINE} | {"kinded": np.array([bool(k) for k in kinds])[at], "src": np.full(len(at), src), **{k: np.zeros(len(at), dtype=t) for k, t in (("hint", bool), ("twinned", bool), ("addr", int), ("tel", int))}}
+    metres = rng.uniform(0, 250, len(i))
+    kept = linkage._may_match(side(i, 1), side(j, 2), metres)
+    like = linkage._compare_names(*[pd.Series([v[k] for k in at]) for v in (core, kinds, joined) for at in (i, j)])["name"].to_numpy()
+    support = np.clip((like - 0.55) / 0.3, 0, 1) * np.clip((linkage.REACH_M - metres) / 90.0, 0, 1)
+    assert (support > linkage.LEAST_SUPPORT).sum() > 100 and not (~kept & (support > linkage.LEAST_SUPPORT)).any() and kept.mean() < 0.6
+
+
+def test_parts_solved_apart_have_the_same_minimum(spark):
+    rows = [(n, f"h{n}", f"r{n % 3}", True, "hint", "osm", 4.0, 1.0 - 0.1 * (n % 4), 0.8, 0.0) for n in range(6)] + [(10, "r0", "s0", False, "osm", "google", 4.0, 0.9, 5.8, 0.0), (11, "r0", "s1", False, "osm", "google", 6.0, 1.0, 0.8, 0.0), (12, "h0", "s1", True, "hint", "google", 4.0, 1.0, 0.8, 0.0)]
+    cand = spark.createDataFrame(rows, "var long, a string, b string, hint boolean, source_a string, source_b string, up double, up_to double, down double, down_from double")
+    tasks = {r["var"]: r["value"] for r in linkage.solve(cand, merged=1).collect()}
+    frames = {r["var"]: r["value"] for r in linkage.admm(cand.select("var", "up", "up_to", "down", "down_from"), linkage._rules(cand), most_rounds=100, tolerance=1e-3).collect()}
+    assert tasks.keys() == frames.keys() and all(abs(tasks[v] - frames[v]) < 0.02 for v in tasks) and len({round(v, 1) for v in tasks.values()}) > 2
+    parts = linkage.with_parts(cand.selectExpr("xxhash64(a) as x", "xxhash64(b) as y", "a"), merged=1)
+    assert parts.select("part").distinct().count() == 3 and {r["var"] for r in linkage.solve(cand, together=2).collect()} == tasks.keys()
+
+
 # --- models ------------------------------------------------------------------------------------------------------------
 def test_network_in_onnxruntime_equals_numpy():
     m = CharTagger(5, hidden=6, seed=2)
