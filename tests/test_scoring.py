@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from tastegrid.operators import scoring as S
+from tastegrid.plans import scores as plans
 
 NOW = datetime(2026, 8, 15)
 SCHEMA = "dish_id string, restaurant_id string, city_id string, sentiment double, confidence double, source string, engagement int, published_at timestamp, price double, method string, attributes array<string>"
@@ -80,3 +81,12 @@ def test_upsert_keeps_null_keys(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert S.score_pairs(none, F.lit(NOW)).count() == 0 and S.pair_rollup(none).count() == 0
+
+
+HALF = [56.349, 58.68, 55.232, 57.413]  # their mean is exactly half way, at 56.9185; sums of doubles end below it
+
+
+def test_mean_scores_of_cards_round_halves_up(spark, monkeypatch):
+    rows = [("d", "c", "ranked", x, 1, 5.0) for x in HALF]
+    monkeypatch.setattr(plans, "_scores", lambda *_: spark.createDataFrame(rows, "dish_id string, city_id string, status string, score double, mention_count long, price_avg double"))
+    assert [(r["score"], r["places"]) for r in plans.agg11_dish_cards(spark, "").collect()] == [(56.919, 4)]
