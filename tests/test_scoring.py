@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from tastegrid.operators import scoring as S
+from tastegrid.plans import more
 from tastegrid.plans import scores as plans
 
 NOW = datetime(2026, 8, 15)
@@ -90,3 +91,9 @@ def test_mean_scores_of_cards_round_halves_up(spark, monkeypatch):
     rows = [("d", "c", "ranked", x, 1, 5.0) for x in HALF]
     monkeypatch.setattr(plans, "_scores", lambda *_: spark.createDataFrame(rows, "dish_id string, city_id string, status string, score double, mention_count long, price_avg double"))
     assert [(r["score"], r["places"]) for r in plans.agg11_dish_cards(spark, "").collect()] == [(56.919, 4)]
+
+
+def test_mean_scores_of_restaurants_round_halves_up(spark):
+    rows = [("r", "ranked", x, 1) for x in HALF] + [("r", "insufficient_data", None, 1)]
+    out = more._restaurant_scores(spark.createDataFrame(rows, "restaurant_id string, status string, score double, mention_count long")).collect()
+    assert [(r["score"], r["mentions"]) for r in out] == [(56.919, 4)]
