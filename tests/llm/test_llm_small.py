@@ -376,6 +376,16 @@ def test_linkage_frequent_names_without_coordinates(spark):
     assert pairs == {("pl-010", "pl-100")}  # which of the grills is meant stays open
 
 
+def test_linkage_hints_of_names_in_many_cells_by_chance(spark):
+    t = datetime(2026, 1, 1)
+    kinds = "Grill Cafe Snacks Dhaba Eatery Kitchen".split()
+    plain = [(f"pl-{k}{i}", "osm", f"k{k}{i}", f"{n} {kind}", 22.0 + i * 0.004, 88.1 + k * 0.01, None, None, t) for k, kind in enumerate(kinds) for i, n in enumerate("Poluvar Quemabo Rustikel Sivanor Tarkemi".split())]
+    rows = plain + _bakeries() + [(f"pl-9{k}", "osm", f"z{k}", f"Zumirak {kind}", 22.0 + 3 * k, 88.0 + 3 * k, None, None, t) for k, kind in enumerate(kinds)]
+    rows += [(f"pl-8{k}", "osm", f"w{k}", "Wexolit Grill", 22.0 + 3 * k, 88.2 + 3 * k, None, None, t) for k in range(5)]
+    _, hints = _linked(spark, rows, [("rv-1", "Zumirak Grill", "ct", None, None), ("rv-2", "Wexolit Grill", "ct", None, None)])
+    assert hints == {("rv-1", "pl-90")}  # a name that six kinds of business bear by chance; the other is a chain
+
+
 def test_admm_solves_a_known_problem(spark):
     # two variables wanting 1 that may add up to 1 at most: the stronger pull wins
     v = spark.createDataFrame([(1, 4.0, 1.0, 0.5, 0.0), (2, 2.0, 1.0, 0.5, 0.0), (3, 1.0, 0.8, 0.2, 0.0)], "var long, up double, up_to double, down double, down_from double")
